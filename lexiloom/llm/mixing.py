@@ -116,7 +116,7 @@ def _mix(docs: DataFrame, rest: list[str], seed: int, n_blocks: int) -> DataFram
         b = F.floor((x if at == "start" else F.greatest(x - 1, F.lit(0).cast("long"))) / F.col("block"))
         placed = placed.withColumn("_at", b)
         placed = placed.join(found, (F.col("src") == F.col("_src")) & (F.col("_at") == F.col("_b")), "left")
-        placed = placed.withColumn(f"_f_{at}", F.col("_before") + F.least(F.col("_take"), x - F.col("_b") * F.col("_block")))
+        placed = placed.withColumn(f"_f_{at}", F.col("_before") + F.least(F.col("_take"), x - F.col("_b") * F.col("block")))
         placed = placed.drop("_src", "_b", "_before", "_take", "_at")
     taken = F.when(F.col("size") > 0, F.col("_passes") * F.col("size") + F.col("_f_end") - F.col("_f_start")).otherwise(0)
     return placed.select(*rest, "size", "source_size", "target", taken.cast("long").alias("taken"))
