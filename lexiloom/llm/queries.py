@@ -11,6 +11,7 @@ import importlib
 MODULES = (
     "q_quality_rules",
     "q_mixing",
+    "q_bpe",
     "q_line_dedup",
     "q_minhash",
 )
