@@ -11,6 +11,8 @@ import importlib
 MODULES = (
     "q_quality_rules",
     "q_mixing",
+    "q_ftrl",
+    "q_secrets",
     "q_bpe",
     "q_line_dedup",
     "q_minhash",
