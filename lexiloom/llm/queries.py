@@ -10,6 +10,7 @@ import importlib
 #: Modules with QUERIES, and ORACLE_SQL where SQL expresses the result.
 MODULES = (
     "q_quality_rules",
+    "q_sharding",
     "q_mixing",
     "q_ftrl",
     "q_secrets",
