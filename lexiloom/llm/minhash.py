@@ -7,12 +7,19 @@ one bit, so that the XOR of two sketches counts the samples that differ.
 
 1. Documents with equal sets collapse to one vertex, the smallest ``doc_id``.
 2. In every band bucket each vertex meets the bucket's smallest (an aggregation and a
-   join, no group is gathered).  Pairs whose sketches agree well enough are confirmed
-   on their full sets; the links give first components.
-3. Buckets that still hold vertices of several components are compared in blocks by
-   sketch, without a limit, and those pairs confirmed as well.  Links inside a component
-   cannot change it, so nothing is lost beyond what banding misses: a pair at the
-   threshold escapes all bands with probability 8e-6.
+   join, no group is gathered), and their sketches are compared.  Buckets in which all
+   agree with the smallest are settled by those stars; the others are compared by sketch
+   in blocks, which give a spanning forest of what agrees.  The slack of five standard
+   deviations lets no pair at the threshold go.
+3. The connected components of that are *candidate clusters*: two vertices that share a
+   band and may be linked are in one.  The texts of clustered documents alone are moved
+   (a Bloom filter of their ids, of bounded size, keeps the rest where it is), each once,
+   to its cluster, whose members are confirmed on their full sets, all against all by
+   matrix products within a task.  Clusters over BLOCK members are dealt in pairs of
+   blocks.  A task returns a spanning forest of its confirmed links, no pair list.
+
+Nothing is lost beyond what banding misses: a pair at the threshold escapes all bands
+with probability 8e-6.
 
 Defined results: texts without a word have an empty set, size 0, and are linked with
 nothing; texts of fewer than five words are one shingle, their whole sequence; rows that
@@ -29,8 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.bloom import id_filter
 from lexiloom.llm.common import stored
 from lexiloom.llm.components import connected_components
+from lexiloom.llm.groups import Forest, grouped
 
 WIDTH = 5
 BANDS, ROWS = 20, 5
@@ -38,7 +47,10 @@ SKETCH_BITS = 512
 #: Estimated similarity (per cent) below the threshold at which a pair is still confirmed:
 #: five standard deviations of 100 samples at a similarity of 0.85.
 SLACK = 18
+#: Members of a bucket or cluster that are compared in one task, twice.
 BLOCK = 256
+#: Columns of the products of sets.
+COLUMNS = 4096
 #: Shingles hashed at a time, so that the arrays stay in the processor's cache.
 CHUNK = 1 << 15
 CACHED_WORDS = 1 << 20
@@ -115,13 +127,13 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(mins: np.ndarray) -> np.ndarray:
-    """One row of SKETCH_BITS / 8 bytes for each row of samples."""
+    """One row of SKETCH_BITS / 64 longs for each row of samples."""
     place = _mixed(mins * _PRIME + np.arange(mins.shape[1], dtype=np.uint64)) % np.uint64(SKETCH_BITS)
     parity = np.zeros((len(mins), SKETCH_BITS), np.uint8)
     rows = np.arange(len(mins))
     for k in range(mins.shape[1]):
         parity[rows, place[:, k]] ^= 1
-    return np.packbits(parity, axis=1)
+    return np.packbits(parity, axis=1).view(np.int64)
 
 
 def most_odd_bits(percent: float) -> int:
@@ -147,87 +159,102 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if some:
                 mins = samples([sets[i] for i in some])
                 for i, k, o in zip(some, band_keys(mins), odd_sketches(mins), strict=True):
-                    keys[i], odd[i] = k, o.tobytes()
+                    keys[i], odd[i] = k, o
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(odd, pa.binary()),
+                    pa.array(odd, pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
             )
 
 
-SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
+SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"
 
 
-def _close(percent: float):
-    most = most_odd_bits(percent)
-    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int32)
+PAIR = "a long, b long"
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                near = ones[x ^ y].sum(1) <= most
-                yield batch.filter(pa.array(near)).select(["a", "b"])
 
-    return kept
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(r) for r in rows], pa.int64()), pa.array([max(r) for r in rows], pa.int64())], ["a", "b"])
 
 
-def _blocks(percent: float):
+def _by_sketch(percent: float):
+    """A spanning forest of the vertices of each (bucket, pair of blocks) whose sketches agree."""
     most = most_odd_bits(percent)
-    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int32)
-
-    def pairs(key, rows):
-        i, j = key[1].as_py(), key[2].as_py()
-        v, c, block = (rows.column(k).to_numpy() for k in ("v", "c", "block"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(v), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(c[right] != c[x]) & ((i != j) | (v[right] > v[x]))]
-            y = y[ones[sketch[y] ^ sketch[x]].sum(1) <= most]
-            a += [v[x]] * len(y)
-            b += v[y].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return pairs
-
-
-def _similar(percent: int):
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            near = []
-            for i in range(batch.num_rows):
-                s, t = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                near.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
-
-    return kept
 
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            made = [shingles(t, hashes).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("v"), pa.array(made, pa.binary())], ["v", "shingles"])
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets of paired documents only are made."""
-    ids = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(ids, "v").select("v", "text")
-    sets = stored(texts.mapInArrow(_sets, "v long, shingles binary"), "sets")
-    one = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
-    return two.mapInArrow(_similar(percent), "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ["key", "i", "j"]):
+            v = rows.column("v").to_numpy()
+            sketch = np.stack(rows.column("sketch").to_pylist()).astype(np.int64)
+            forest = Forest(len(v))
+            for x in range(len(v) - 1):
+                near = np.bitwise_count(sketch[x + 1 :] ^ sketch[x]).sum(1) <= most
+                for y in np.flatnonzero(near):
+                    forest.join(x, x + 1 + int(y))
+            if forest.links:
+                yield _pairs([(int(v[x]), int(v[y])) for x, y in forest.links])
+
+    return run
+
+
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets, each confirmed in full."""
+    forest, size = Forest(len(sets)), np.array([len(s) for s in sets])
+    if len(sets) <= 8:
+        for x in range(len(sets)):
+            for y in range(x):
+                if forest.find(x) != forest.find(y):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (size[x] + size[y] - both):
+                        forest.join(y, x)
+        return forest.links
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    x, y = np.nonzero(100 * both >= percent * (size[:, None] + size[None, :] - both))
+    for p, q in zip(x[x < y].tolist(), y[x < y].tolist(), strict=True):
+        forest.join(p, q)
+    return forest.links
+
+
+def _by_set(percent: int):
+    """A spanning forest of the confirmed links of each (cluster, pair of blocks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for rows in grouped(batches, ["cluster", "i", "j"]):
+            v = rows.column("v").to_numpy()
+            links = linked([shingles(t.as_py(), hashes) for t in rows.column("text")], percent)
+            if links:
+                yield _pairs([(int(v[x]), int(v[y])) for x, y in links])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Rows of every group, dealt to the pairs of its blocks: columns i and j, sorted groups.
+
+    A group of one block is one pair, (0, 0); in larger ones only pairs of different blocks
+    are made, each of which compares the rows within its blocks as well.
+    """
+    n = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.join(sizes.select(key, n.alias("n_blocks")), key)
+    block = F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int")
+    others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("n_blocks") - 1), block))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "n_blocks")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -240,33 +267,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     equal = full.select("doc_id", "set_hash").join(vertices.select("set_hash", "v"), "set_hash").where("doc_id <> v")
     equal = equal.select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
-    sketches = vertices.select("v", "sketch")
 
-    bands = vertices.select("v", F.explode("bands").alias("key"))
-    heads = bands.groupBy("key").agg(F.min("v").alias("head"), F.max("v").alias("last")).where("head <> last")
-    shared = stored(bands.join(heads.select("key", "head"), "key"), "buckets")
-    stars = shared.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
-    stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-    first = stored(confirmed(stored(stars.mapInArrow(_close(percent), "a long, b long"), "stars"), docs, percent), "first")
-
-    of = connected_components(first).withColumnRenamed("component", "c")
-    mixed = shared.join(of, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    sizes = mixed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
-    rest = mixed.join(sizes, "key").join(sketches, "v")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", "c", "block", "sketch")
-    late = rest.groupBy("key", "i", "j").applyInArrow(_blocks(percent), "a long, b long")
-    late = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(confirmed(stored(late, "late"), docs, percent), "second")
-
-    component = connected_components(first.union(second).union(equal))
+    component = connected_components(equal.union(confirmed(candidates(vertices, percent), docs, percent)))
     found = signed.select("doc_id", "n_shingles").join(component.toDF("doc_id", "component_id"), "doc_id", "left")
     found = found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
+def candidates(vertices: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that span the candidate clusters of ``vertices`` (v, bands, sketch)."""
+    sketches = vertices.select("v", "sketch")
+    bands = vertices.select("v", F.explode("bands").alias("key"))
+    heads = bands.groupBy("key").agg(F.min("v").alias("head"), F.max("v").alias("last"), F.count("*").alias("n")).where("head <> last")
+    shared = stored(bands.join(heads.select("key", "head", "n"), "key"), "buckets")
+    stars = shared.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
+    stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+    odd = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    stars = stored(stars.select("a", "b", (odd <= most_odd_bits(percent)).alias("near")), "stars")
+    far = stars.where("NOT near").select("a", "b")
+    open_keys = shared.join(far, (F.col("head") == F.col("a")) & (F.col("v") == F.col("b"))).select("key", "n").distinct()
+    rows = shared.select("key", "v").join(open_keys.select("key"), "key").join(sketches, "v")
+    rest = _in_blocks(rows, "key", open_keys).mapInArrow(_by_sketch(percent), PAIR)
+    return stars.where("near").select("a", "b").union(rest)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that span the same components as all links within the clusters do."""
+    clusters = stored(connected_components(pairs).toDF("v", "cluster"), "clusters")
+    passes = id_filter(clusters.select("v"))
+
+    def clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            yield batch.filter(pa.array(passes(batch.column("doc_id").to_numpy())))
+
+    texts = docs.mapInArrow(clustered, "doc_id long, text string").withColumnRenamed("doc_id", "v")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    rows = _in_blocks(texts.join(clusters, "v").select("v", "cluster", "text"), "cluster", sizes)
+    return stored(rows.mapInArrow(_by_set(percent), PAIR), "links")
+
+
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one document, the smallest ``doc_id``, of each group left."""
     gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
