@@ -12,6 +12,7 @@ MODULES = (
     "q_quality_rules",
     "q_sharding",
     "q_mixing",
+    "q_vector_dedup",
     "q_bwt_dedup",
     "q_ftrl",
     "q_secrets",
