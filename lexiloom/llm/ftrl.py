@@ -3,7 +3,7 @@
 Features of a text are the unigrams and bigrams of its words and of their shapes (case,
 length, signs), and the bigram of any word twice, hashed into ``2 ** BITS`` slots; slot values are square roots of counts,
 scaled to unit length.  Training makes ``PASSES`` passes over at most ``MOST_ROWS``
-labelled texts, chosen by hash (the documented bound), in one task: follow-the-
+labels, chosen by hash (the documented bound), in one task: follow-the-
 regularised-leader keeps per slot a gradient sum z and a squared sum n, and its L1 term
 leaves the weights sparse.  Scoring is a sparse dot product for every document, with the
 weights (at most 8 MB, fixed by BITS) broadcast.
@@ -96,11 +96,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(labelled: DataFrame) -> np.ndarray:
-    """Weights learnt from (text, label); the sample's order is by hash, so reruns agree."""
-    order = F.xxhash64("text", "label")
-    sample = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"), order.alias("h"))
-    sample = sample.orderBy("h", "text").limit(MOST_ROWS)
+def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights learnt from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) names.
+
+    At most MOST_ROWS labels are taken, by the hash of their ids, and broadcast; the order
+    of learning is by a hash of the texts, so reruns agree.
+    """
+    drawn = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MOST_ROWS)
+    sample = docs.join(F.broadcast(drawn), "doc_id").select("text", "label").orderBy(F.xxhash64("text", "label"), "text").limit(2 * MOST_ROWS)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows = _Words(), []
