@@ -1,7 +1,8 @@
 """Exact search: texts and patterns meet in one equi-join on their first characters.
 
 Every pattern is found by its first ``q`` characters, q the length of the shortest pattern
-(``MOST_SEED`` at most); the rest is compared where those agree.  The join is left to the
+(``MOST_SEED`` at most); where those agree the text is joined and the rest compared.  What
+is made for every position is q characters, never a pattern's length.  The join is left to the
 optimizer: a small pattern table is broadcast, a large one is shuffled with skewed seeds
 split at run time.  Occurrences overlap, positions count from 0, and a pattern with a
 symbol that no text has finds nothing.
@@ -27,10 +28,12 @@ def locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         return texts.sparkSession.createDataFrame([], "doc_id long, pat_id long, pos long")
     q = min(shortest, MOST_SEED)
     seeds = patterns.where(F.char_length("pattern") > 0).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
+    hits = windows(texts, q).join(seeds, "window")
     if shortest == longest == q:
-        return windows(texts, q).join(seeds, "window").select("doc_id", "pat_id", "pos")
-    rows = windows_with_tail(texts, q, longest).join(seeds, "window")
-    return rows.where(F.col("tail").startswith(F.col("pattern"))).select("doc_id", "pat_id", "pos")
+        return hits.select("doc_id", "pat_id", "pos")
+    rows = hits.select("doc_id", "pat_id", "pos", "pattern").join(texts.select("doc_id", "text"), "doc_id")
+    same = F.substring("text", (F.col("pos") + 1).cast("int"), F.char_length("pattern")) == F.col("pattern")
+    return rows.where(same).select("doc_id", "pat_id", "pos")
 
 
 def count(texts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 CHUNK = 256
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt to all cores where they come in fewer partitions than there are cores.
+
+    A window is made for every position, hundreds of rows from one; texts read from many
+    files or row groups stay where they are.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if texts.isStreaming or texts.rdd.getNumPartitions() >= cores:
+        return texts
+    return texts.repartition(cores)
+
+
 def chunks(texts: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """(doc_id, base, part, n): pieces of ``size`` characters and up to ``overlap`` more; n starts in each."""
     n = F.char_length("text")
-    pieces = texts.select("doc_id", "text", n.alias("n_text"), F.explode(F.sequence(F.lit(0), F.greatest((n - 1) / size, F.lit(0)).cast("int"))).alias("c"))
+    pieces = spread(texts).select("doc_id", "text", n.alias("n_text"), F.explode(F.sequence(F.lit(0), F.greatest((n - 1) / size, F.lit(0)).cast("int"))).alias("c"))
     base = (F.col("c").cast("long") * size).alias("base")
     return pieces.select("doc_id", base, F.substring("text", F.col("c") * size + 1, F.lit(size + overlap)).alias("part"), "n_text")
 

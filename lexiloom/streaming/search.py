@@ -1,7 +1,7 @@
 """A stream of patterns against a static collection of texts.
 
-The texts' windows are written once, by seed; every micro-batch of patterns is joined with
-them, so that a batch reads only what its seeds meet.
+Every micro-batch of patterns is joined with the texts' windows by seed, and the hits are
+compared with the texts: two stream-static joins.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexiloom.operators.windows import windows_with_tail
+from lexiloom.operators.windows import windows
 
 
 def search_stream(texts: DataFrame, patterns: DataFrame, q: int, longest: int) -> DataFrame:
@@ -18,9 +18,13 @@ def search_stream(texts: DataFrame, patterns: DataFrame, q: int, longest: int) -
 
     A stream-static equi-join: no state is kept, so nothing grows with the stream.
     """
-    index = windows_with_tail(texts, q, longest)
     seeds = patterns.where(F.char_length("pattern").between(q, longest)).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
-    return seeds.join(index, "window").where(F.col("tail").startswith(F.col("pattern"))).select("doc_id", "pat_id", "pos")
+    return _found(seeds.join(windows(texts, q), "window"), texts).select("doc_id", "pat_id", "pos")
+
+
+def _found(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    rows = hits.join(texts.select("doc_id", "text"), "doc_id")
+    return rows.where(F.substring("text", (F.col("pos") + 1).cast("int"), F.char_length("pattern")) == F.col("pattern"))
 
 
 def counts_stream(texts: DataFrame, patterns: DataFrame, q: int, longest: int) -> DataFrame:
@@ -31,10 +35,9 @@ def counts_stream(texts: DataFrame, patterns: DataFrame, q: int, longest: int) -
 def windowed_counts(texts: DataFrame, patterns: DataFrame, q: int, longest: int, at: str, width: str, late: str) -> DataFrame:
     """(window, pat_id, n) by event time; windows are closed ``late`` behind the newest event."""
     timed = patterns.withWatermark(at, late)
-    index = windows_with_tail(texts, q, longest)
     seeds = timed.where(F.char_length("pattern").between(q, longest)).select("pat_id", "pattern", at, F.substring("pattern", 1, q).alias("_w"))
-    found = seeds.join(index, F.col("_w") == F.col("window")).where(F.col("tail").startswith(F.col("pattern")))
-    return found.groupBy(F.window(at, width).alias("window_"), "pat_id").agg(F.count("*").alias("n")).withColumnRenamed("window_", "window")
+    hits = seeds.join(windows(texts, q), F.col("_w") == F.col("window"))
+    return _found(hits, texts).groupBy(F.window(at, width).alias("window_"), "pat_id").agg(F.count("*").alias("n")).withColumnRenamed("window_", "window")
 
 
 def start(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
