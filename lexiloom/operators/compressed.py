@@ -37,7 +37,7 @@ def rlz(table: DataFrame, reference: DataFrame) -> DataFrame:
     Greedy: the longest match from where it stands, literals for matches of one or none.
     """
 
-    def parse(key, rows: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+    def parse(key, rows, ref):
         x, r = rows.sort_values("i").dsa.to_numpy(), ref.sort_values("at").value.to_numpy()
         starts: dict[tuple[int, int], list[int]] = {}
         for at, pair in enumerate(zip(r[:-1].tolist(), r[1:].tolist(), strict=True)):
@@ -61,7 +61,7 @@ def rlz(table: DataFrame, reference: DataFrame) -> DataFrame:
             {"src": "Int64", "literal": "Int64"}
         )
 
-    both = table.select("doc_id", "i", "dsa").groupBy("doc_id").cogroup(reference.groupBy("doc_id"))
+    both = table.select("doc_id", "i", "dsa").groupBy("doc_id").cogroup(reference.toDF("ref_doc", "at", "value").groupBy("ref_doc"))
     return both.applyInPandas(parse, RLZ)
 
 
@@ -83,7 +83,7 @@ def lz_end(table: DataFrame, longest: int = 8192) -> DataFrame:
     """LZ-End phrases of each document's differences: a copy that ends where an earlier phrase
     ends, then one more value; src is that phrase, or null for none."""
 
-    def parse(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def parse(key, rows):
         x = rows.sort_values("i").dsa.tolist()
         ends: dict[int, list[int]] = {}  # value at a phrase's end -> phrases
         stops: list[int] = []
@@ -112,7 +112,7 @@ def lz_end(table: DataFrame, longest: int = 8192) -> DataFrame:
 def lz_end_decoded(phrases: DataFrame) -> DataFrame:
     """(doc_id, i, sa) of LZ-End phrases."""
 
-    def decode(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def decode(key, rows):
         x: list[int] = []
         stops: list[int] = []
         for src, ext, n in rows.sort_values("ph")[["src", "ext", "len"]].itertuples(index=False):

@@ -55,7 +55,7 @@ def fastq_records(files: DataFrame) -> DataFrame:
 
 def pattern_file(spark: SparkSession, path: str) -> DataFrame:
     """(pat_id, pattern) of files with a header ``# number=N length=L ...`` and N * L characters."""
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("ISO-8859-1")).alias("value"))
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("value"))
     header = F.substring_index("value", "\n", 1)
     n, m = value_of(header, "number").cast("int"), value_of(header, "length").cast("int")
     rows = files.select(n.alias("n"), m.alias("m"), F.expr("substring(value, instr(value, '\n') + 1)").alias("body"))

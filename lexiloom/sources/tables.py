@@ -27,7 +27,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def byte_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, name, text) with one character, U+0000 to U+00FF, for every byte of a file."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.decode("content", "ISO-8859-1").alias("text"))
     return files.select((F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("doc_id"), "name", "text")
 
 
