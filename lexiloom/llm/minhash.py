@@ -189,7 +189,8 @@ def _by_sketch(percent: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["key", "i", "j"]):
             v = rows.column("v").to_numpy()
-            sketch = np.stack(rows.column("sketch").to_pylist()).astype(np.int64)
+            # unsigned: the bit count of a negative number is that of its absolute value
+            sketch = np.array(rows.column("sketch").to_pylist(), np.int64).view(np.uint64)
             forest = Forest(len(v))
             for x in range(len(v) - 1):
                 near = np.bitwise_count(sketch[x + 1 :] ^ sketch[x]).sum(1) <= most
