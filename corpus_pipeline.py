@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, line_dedup, minhash, mixing, quality_rules
-from lexiloom.llm.common import stored, table
+from lexiloom.llm.common import ready, stored, table
 from lexiloom.llm.q_bpe import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,12 +26,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents go; ``n_chars`` follows the text."""
+    ready(spark)
     left = line_dedup.line_dedup(docs.select(COLUMNS), min_docs=10)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id."""
+    ready(spark)
     return minhash.deduplicated(docs.select(COLUMNS), percent=85)
 
 
@@ -42,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the ids and their number, and the string that they decode to."""
+    ready(spark)
     rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).drop("text"), tokenizer_path())
     return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

@@ -7,7 +7,7 @@ seen in two; the tasks' filters travel as small chunks and are united chunk by c
 holds are shuffled, as 128-bit hashes, for the exact count of documents and the choice
 of the first; the rest of the lines never move.
 
-The filters have a power of two of bits, about 32 for every line expected and at most
+The filters have a power of two of bits, about 16 for every line expected and at most
 ``MAX_BITS`` (32 MB each), the proven bound of what is broadcast.  Beyond some 50 million
 lines they fill up and more keys are shuffled; results stay exact.
 
@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stored
+from lexiloom.llm.common import slices, stored
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 CHUNK_BYTES = 1 << 13
 #: Bytes of text for every bit of a filter: lines are some 300 bytes long.
-BYTES_PER_BIT = 8
+BYTES_PER_BIT = 16
 HASHES = 2
 
 
@@ -49,27 +49,31 @@ def places(keys: set[bytes], bits: int) -> np.ndarray:
 
 
 class Bloom:
-    """A pair of filters: keys added once, keys added twice or more."""
+    """A pair of packed filters: keys added once, keys added twice or more."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.once = np.zeros(bits, np.bool_)
-        self.twice = np.zeros(bits, np.bool_)
+        self.once = np.zeros(bits // 8, np.uint8)
+        self.twice = np.zeros(bits // 8, np.uint8)
 
     def add(self, keys: set[bytes]) -> None:
         """Adds one document's distinct keys."""
         if not keys:
             return
         at = places(keys, self.bits)
-        seen = self.once[at].all(axis=1)
-        self.twice[at[seen].ravel()] = True
-        self.once[at[~seen].ravel()] = True
+        seen = holds(self.once, at)
+        for filled, new in ((self.twice, at[seen].ravel()), (self.once, at[~seen].ravel())):
+            np.bitwise_or.at(filled, new >> 3, np.uint8(128) >> (new & 7).astype(np.uint8))
 
     def chunks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        once, twice = np.packbits(self.once), np.packbits(self.twice)
-        for k in range(0, len(once), CHUNK_BYTES):
-            if (part := once[k : k + CHUNK_BYTES]).any():
-                yield k // CHUNK_BYTES, part.tobytes(), twice[k : k + CHUNK_BYTES].tobytes()
+        for k in range(0, len(self.once), CHUNK_BYTES):
+            if (part := self.once[k : k + CHUNK_BYTES]).any():
+                yield k // CHUNK_BYTES, part.tobytes(), self.twice[k : k + CHUNK_BYTES].tobytes()
+
+
+def holds(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row of places whether all of its bits are set."""
+    return ((filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=1)
 
 
 CHUNKS = "chunk int, once binary, twice binary"
@@ -78,7 +82,7 @@ CHUNKS = "chunk int, once binary, twice binary"
 def _fill(bits: int, min_chars: int):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(bits)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 bloom.add({k for k in keys_of(text) if len(k.decode("utf-8", "surrogatepass")) >= min_chars})
         rows = list(bloom.chunks())
@@ -128,13 +132,12 @@ def suspects(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found = [k for k in set(keys_of(text)) if len(k.decode("utf-8", "surrogatepass")) >= min_chars]
                 if found:
-                    at = places(found, bits)
-                    hit = ((filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+                    hit = holds(filled, places(found, bits))
                     new = [xxhash.xxh3_128_digest(found[j]) for j in np.flatnonzero(hit)]
                     keys += new
                     ids += [i] * len(new)
@@ -145,7 +148,7 @@ def suspects(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 def _dropped(columns: list[str], min_chars: int):
     def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, n, gone = [], [], []
             for text, keys, first in zip(*(batch.column(c).to_pylist() for c in ("text", "_keys", "_first")), strict=True):
                 lines = (text or "").split("\n")
