@@ -270,6 +270,17 @@ def e10_left_ext(spark, d):
     return exact.extensions(documents(spark, d), word_patterns(spark, d), "left")
 
 
+@query(
+    f"""WITH {SQL_SA.replace("coalesce(text, '') AS text FROM benchmark", "reverse(coalesce(text, '')) AS text FROM benchmark")}, {SQL_WORDS}
+SELECT doc_id, pat_id, min(i) AS b, max(i) AS e FROM sa JOIN words ON starts_with(suffix, reverse(pattern)) GROUP BY ALL"""
+)
+def e11_backward_interval(spark, d):
+    """Intervals of the reversed words in the arrays of the reversed items."""
+    turned = items(spark, d).select("doc_id", F.reverse("text").alias("text"))
+    words = word_patterns(spark, d).select("pat_id", F.reverse("pattern").alias("pattern"))
+    return suffix.intervals(suffix.suffix_array(turned, True), words)
+
+
 @query(
     f"""WITH {SQL_SA}, {SQL_WORDS}, v AS (SELECT doc_id, pat_id, min(i) AS b, max(i) AS e FROM sa JOIN words ON starts_with(suffix, pattern) GROUP BY ALL)
 SELECT v.doc_id, pat_id, b, e, sa.sa AS occ FROM v JOIN sa ON sa.doc_id = v.doc_id AND sa.i = v.e"""
@@ -460,6 +471,12 @@ def f5_best_prefix(spark, d):
     return name_pairs(spark, d).select("p_partkey", edit_alignment(10)("p_name", "following").alias("a")).select("p_partkey", "a.err", "a.len")
 
 
+@query()
+def f9_hamming_scripts(spark, d):
+    """Words with a changed symbol within two mismatches in the items, with their scripts."""
+    return approximate.locate_hamming(items(spark, d), changed_words(spark, d), 2, cigars=True).drop("runs")
+
+
 @query()
 def f6_edit_scripts(spark, d):
     return name_pairs(spark, d).select("p_partkey", edit_alignment(10)("p_name", "following").alias("a")).select("p_partkey", "a.cigar", "a.md")
