@@ -1,8 +1,9 @@
 """Exact search: texts and patterns meet in one equi-join on their first characters.
 
 Every pattern is found by its first ``q`` characters, q the length of the shortest pattern
-(``MOST_SEED`` at most); where those agree the text is joined and the rest compared.  What
-is made for every position is q characters, never a pattern's length.  The join is left to the
+(``MOST_SEED`` at most).  The rest is compared where those agree: with some characters more
+that were taken with the window, if all patterns have at most ``TAIL``, else with the text,
+which is joined then.  So what is made for every position is bounded.  The join is left to the
 optimizer: a small pattern table is broadcast, a large one is shuffled with skewed seeds
 split at run time.  Occurrences overlap, positions count from 0, and a pattern with a
 symbol that no text has finds nothing.
@@ -17,6 +18,7 @@ from lexiloom.functions.strings import common_prefix, reverse_complement
 from lexiloom.operators.windows import array_windows, length_of, windows, windows_with_tail
 
 MOST_SEED = 12
+TAIL = 64
 #: Suffixes below this length are looked up among all short strings of the texts.
 SHORT = 6
 
@@ -28,6 +30,8 @@ def locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         return texts.sparkSession.createDataFrame([], "doc_id long, pat_id long, pos long")
     q = min(shortest, MOST_SEED)
     seeds = patterns.where(F.char_length("pattern") > 0).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
+    if q < longest <= TAIL:
+        return _with_tail(texts, seeds, q, longest).select("doc_id", "pat_id", "pos")
     hits = windows(texts, q).join(seeds, "window")
     if shortest == longest == q:
         return hits.select("doc_id", "pat_id", "pos")
@@ -36,6 +40,11 @@ def locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return rows.where(same).select("doc_id", "pat_id", "pos")
 
 
+def _with_tail(texts: DataFrame, seeds: DataFrame, q: int, tail: int) -> DataFrame:
+    """Occurrences with pattern and tail: what begins there, up to ``tail`` characters."""
+    return windows_with_tail(texts, q, tail).join(seeds, "window").where(F.col("tail").startswith(F.col("pattern")))
+
+
 def count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pat_id, n): occurrences over all texts, zeros included.
 
@@ -72,9 +81,22 @@ def neighbour(side: str):
 
 
 def extensions(texts: DataFrame, patterns: DataFrame, side: str) -> DataFrame:
-    """(pat_id, symbol, n): the symbols that extend each pattern on a side, and how often."""
-    found = locate(texts, patterns).join(patterns.select("pat_id", F.char_length("pattern").alias("m")), "pat_id")
-    symbol = found.join(texts, "doc_id").select("pat_id", neighbour(side).alias("symbol"))
+    """(pat_id, symbol, n): the symbols that extend each pattern on a side, and how often.
+
+    Those on the left are those on the right of the reversed patterns in the reversed texts.
+    """
+    if side == "left":
+        texts = texts.select("doc_id", F.reverse("text").alias("text"))
+        patterns = patterns.select("pat_id", F.reverse("pattern").alias("pattern"))
+    shortest, longest = length_of(patterns)
+    if 0 < longest < TAIL:
+        q = min(shortest, MOST_SEED)
+        seeds = patterns.where(F.char_length("pattern") > 0).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
+        rows = _with_tail(texts, seeds, q, longest + 1)
+        symbol = rows.select("pat_id", F.substring("tail", F.char_length("pattern") + 1, F.lit(1)).alias("symbol"))
+    else:
+        found = locate(texts, patterns).join(patterns.select("pat_id", F.char_length("pattern").alias("m")), "pat_id")
+        symbol = found.join(texts, "doc_id").select("pat_id", neighbour("right").alias("symbol"))
     return symbol.where("symbol <> ''").groupBy("pat_id", "symbol").agg(F.count("*").alias("n"))
 
 

@@ -54,6 +54,18 @@ def test_extensions(spark):
     assert rows(exact.extensions(texts(spark, GOLDEN), patterns(spark, "is"), "left")) == [(0, " ", 1), (0, "h", 1)]
 
 
+@pytest.mark.parametrize("m", [3, 90])
+def test_extensions_of_short_and_long_patterns(spark, m):
+    t, p = ["xy" + "abc" * 40 + "z", "q" + "abc" * 30], ["abc" * (m // 3), "zz" * m]
+    for side in ("left", "right"):
+        want: dict = {}
+        for d, i, at in naive(t, p):
+            beside = at - 1 if side == "left" else at + len(p[i])
+            if 0 <= beside < len(t[d]):
+                want[i, t[d][beside]] = want.get((i, t[d][beside]), 0) + 1
+        assert rows(exact.extensions(texts(spark, *t), patterns(spark, *p), side)) == sorted((i, c, n) for (i, c), n in want.items())
+
+
 def test_longest_suffix(spark):
     t, p = ["abcabd", "xyz"], ["zzabd", "qqq", "abc", "c", "yz"]
     want = [(i, max((n for n in range(len(s) + 1) if any(s[len(s) - n :] in x for x in t)), default=0)) for i, s in enumerate(p)]
