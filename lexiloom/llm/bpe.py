@@ -10,7 +10,7 @@ text, the rest is put in NFC and lower case (a letter at a time, so no final sig
 space parts words, and UTF-8 bytes are written as the byte-level letters.
 
 The file is read on the driver; vocabulary and merges, whose size the file fixes, are
-broadcast.  Chunks between white space are encoded once and kept, up to a bound.
+broadcast.  Chunks between white space and their words are encoded once and kept, up to a bound.
 
 Defined results: null text is empty and has no tokens; decoding joins the tokens' strings
 by blanks, as a tokenizer without decoder does.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lexiloom.llm.common import slices
+
 #: White space to the tokenizer; ``str.split`` also cuts at U+001C to U+001F.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the tokenizer's format: the pattern of words, the end-of-word mark.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 WORD_END = "</w>"
-CACHED_CHUNKS = 200_000
+CACHED = 300_000
 CACHED_CHARS = 64
 
 
@@ -54,13 +57,16 @@ class WordBpe:
         self.strings = [""] * (max([*self.ids.values(), *self.special.values()], default=-1) + 1)
         for s, i in [*self.ids.items(), *self.special.items()]:
             self.strings[i] = s
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(spec["merges"])}
+        #: The rank of a pair of ids, as one number; the id that the pair of a rank becomes.
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(spec["merges"])}
+        self.merged = [self.ids[a + b] for a, b in spec["merges"]]
+        self.ends = {c: self.ids[c + WORD_END] for c in byte_letters() if c + WORD_END in self.ids}
         self.letters = byte_letters()
         self.split = regex.compile(SPLIT)
         self.separators = regex.compile(r"[\x1c-\x1f]")
         self.solid = regex.compile(f"[^{SPACE}]+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.chunks = _Chunks(self)
+        self.chunks = _Kept(self.encode_chunk)
 
     @staticmethod
     def spec(path: str) -> dict:
@@ -74,36 +80,53 @@ class WordBpe:
         """The ids of one word, a string of byte letters without its end mark."""
         if not word:
             return []
-        symbol = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + WORD_END]]
+        ids, rank_of, merged = self.ids, self.ranks.get, self.merged
+        symbol = [ids[c] for c in word]
+        symbol[-1] = self.ends[word[-1]]
         n = len(symbol)
+        # an entry is rank * n + place; it is stale unless its place still begins a pair of its rank
+        queue = [r * n + i for i in range(n - 1) if (r := rank_of(symbol[i] << 32 | symbol[i + 1])) is not None]
+        if not queue:
+            return symbol
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges = self.merges
-        queue = [(m[0], i, symbol[i], symbol[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((symbol[i], symbol[i + 1])))]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
+            rank, i = divmod(pop(queue), n)
             j = after[i]
-            if symbol[i] != left or j < 0 or symbol[j] != right:
-                continue  # stale
-            symbol[i], symbol[j] = merged, -1
+            if j < 0 or symbol[i] < 0 or rank_of(symbol[i] << 32 | symbol[j]) != rank:
+                continue
+            symbol[i] = new = merged[rank]
+            symbol[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((merged, symbol[k])):
-                    heapq.heappush(queue, (m[0], i, merged, symbol[k], m[1]))
+                if (r := rank_of(new << 32 | symbol[k])) is not None:
+                    push(queue, r * n + i)
             h = before[i]
-            if h >= 0 and (m := merges.get((symbol[h], merged))):
-                heapq.heappush(queue, (m[0], h, symbol[h], merged, m[1]))
+            if h >= 0 and (r := rank_of(symbol[h] << 32 | new)) is not None:
+                push(queue, r * n + h)
         return [s for s in symbol if s >= 0]
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """The ids of a text without special tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        out: list[int] = []
-        for word in self.split.findall(chunk.lower()):
-            out += self.encode_word("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))))
-        return out
+    def encode_chunk(self, chunk: str) -> bytes:
+        """The packed ids of a text without special tokens or white space.
+
+        A chunk of several words, or in another form than the file wants, is put together
+        from those of its words, which are chunks as well.
+        """
+        form = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        form = form.lower()
+        # the pattern's most frequent cases: letters alone, letters and one sign
+        if form.isalpha():
+            words = [form]
+        elif form[-1] in ".,;:!?" and form[:-1].isalpha():
+            words = [form[:-1], form[-1]]
+        else:
+            words = self.split.findall(form)
+        if words != [chunk]:
+            return b"".join(map(self.chunks.__getitem__, words))
+        letters = chunk if chunk.isascii() and chunk.isalpha() else "".join(map(self.letters.__getitem__, chunk.encode("utf-8", "surrogatepass")))
+        return _packed(self.encode_word(letters))
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -131,35 +154,55 @@ class WordBpe:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Kept(dict):
+    """What was made for a string, in two generations: when the younger is full it becomes
+    the elder, and what is asked for again moves to the younger."""
+
+    def __init__(self, make):
+        self.make, self.elder = make, {}
+
+    def __missing__(self, key: str):
+        made = self.elder.get(key)
+        if made is None:
+            made = self.make(key)
+            if len(key) > CACHED_CHARS:
+                return made
+        if len(self) >= CACHED:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = made
+        return made
 
 
-class _Chunks(dict):
-    """Chunk between white space to packed ids."""
+#: The tokenizer that a worker process holds for its tasks, with what it keeps: some 100 MB.
+_held: dict[str, WordBpe] = {}
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
 
-    def __missing__(self, chunk: str) -> bytes:
-        made = _packed(self.bpe.encode_chunk(chunk))
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = made
-        return made
+def _tokenizer(spark, path: str):
+    """A function that gives workers the tokenizer of a file that the driver reads."""
+    spec = WordBpe.spec(path)
+    digest = hashlib.sha256(json.dumps(spec).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(spec)
 
+    def held() -> WordBpe:
+        if digest not in _held:
+            _held.clear()
+            _held[digest] = WordBpe(shared.value)
+        return _held[digest]
 
-def _on(spark, path: str):
-    return spark.sparkContext.broadcast(WordBpe.spec(path))
+    return held
 
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encoded, then decoded."""
-    spec = _on(docs.sparkSession, path)
+    tokenizer = _tokenizer(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(spec.value)
-        for batch in batches:
+        bpe = tokenizer()
+        for batch in slices(batches):
             n, ids, decoded = [], [], []
             for t in batch.column(1):
                 packed = bpe.encode_packed(t.as_py())
@@ -176,13 +219,13 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``: array<int>, empty for null text."""
-    spec, docs = _on(docs.sparkSession, path), docs.drop("ids")
+    tokenizer, docs = _tokenizer(docs.sparkSession, path), docs.drop("ids")
     made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = [*docs.columns, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(spec.value)
-        for batch in batches:
+        bpe = tokenizer()
+        for batch in slices(batches):
             ids = [np.frombuffer(bpe.encode_packed(t.as_py()), "<u4").astype(np.int32) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
 
@@ -191,13 +234,13 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with ``decoded``, the string of ``ids``; null ids decode to an empty string."""
-    spec, rows = _on(rows.sparkSession, path), rows.drop("decoded")
+    tokenizer, rows = _tokenizer(rows.sparkSession, path), rows.drop("decoded")
     made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     names = [*rows.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(spec.value)
-        for batch in batches:
+        bpe = tokenizer()
+        for batch in slices(batches):
             back = [bpe.decode(i.as_py() or ()) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names)
 
