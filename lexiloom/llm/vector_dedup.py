@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stored
+from lexiloom.llm.common import slices, stored
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.groups import Forest, grouped
 
@@ -313,15 +313,19 @@ def recall(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
-        for batch in batches:
-            for key in {(label, len(x)) for _, label, x in shared.value}:
-                at = [r for r in range(batch.num_rows) if batch.column("label")[r].as_py() == key[0] and len(batch.column("x")[r].values) == key[1]]
-                if at:
-                    own = [(i, x) for i, label, x in shared.value if (label, len(x)) == key]
-                    hit = _unit([x for _, x in own]) @ _unit([batch.column("x")[r].values.to_numpy() for r in at]).T >= threshold
-                    ids, w = (np.array([batch.column(c)[r].as_py() for r in at]) for c in ("v", "w"))
-                    for k, (i, _) in enumerate(own):
-                        sums[i] = sums.get(i, 0) + int(w[hit[k] & (ids != i)].sum())
+        asked_of: dict[tuple, list] = {}
+        for i, label, x in shared.value:
+            asked_of.setdefault((label, len(x)), []).append((i, x))
+        for batch in slices(batches, 4096):
+            ids, w = batch.column("v").to_numpy(), batch.column("w").to_numpy()
+            vectors_, at_of = batch.column("x").to_pylist(), {}
+            for r, label in enumerate(batch.column("label").to_pylist()):
+                at_of.setdefault((label, len(vectors_[r])), []).append(r)
+            for key in asked_of.keys() & at_of.keys():
+                at = at_of[key]
+                hit = _unit([x for _, x in asked_of[key]]) @ _unit([vectors_[r] for r in at]).T >= threshold
+                for k, (i, _) in enumerate(asked_of[key]):
+                    sums[i] = sums.get(i, 0) + int(w[at][hit[k] & (ids[at] != i)].sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["v", "links"])
 
     true = vectors.mapInArrow(run, "v long, links long").agg(F.sum("links")).first()[0] or 0
