@@ -69,15 +69,14 @@ def edit_script(pattern: str, text: str, k: int) -> tuple[int, list[Run]]:
     Going back from the end, a diagonal step is preferred, then an insertion, then a deletion.
     """
     m, n = len(pattern), len(text)
-    inside = lambda i, j: i >= 0 and j >= 0 and abs(i - j) <= k
     d = {(0, 0): 0}
-    for i, j in itertools.product(range(m + 1), range(n + 1)):
-        if (i or j) and inside(i, j):
-            ways = []
-            if i and j and (i - 1, j - 1) in d:
-                ways.append(d[i - 1, j - 1] + (pattern[i - 1] != text[j - 1]))
-            ways += [d[c] + 1 for c in ((i - 1, j), (i, j - 1)) if c in d]
-            d[i, j] = min(ways)
+    for i in range(m + 1):
+        for j in range(max(0, i - k), min(n, i + k) + 1):  # the band
+            if i or j:
+                ways = [d[c] + 1 for c in ((i - 1, j), (i, j - 1)) if c in d]
+                if (i - 1, j - 1) in d:
+                    ways.append(d[i - 1, j - 1] + (pattern[i - 1] != text[j - 1]))
+                d[i, j] = min(ways)
     if (total := d.get((m, n), k + 1)) > k:
         return k + 1, []
     steps: list[Run] = []
