@@ -12,6 +12,9 @@ space parts words, and UTF-8 bytes are written as the byte-level letters.
 The file is read on the driver; vocabulary and merges, whose size the file fixes, are
 broadcast.  Chunks between white space and their words are encoded once and kept, up to a bound.
 
+Letters and numbers are those of the interpreter's Unicode tables (15.1 in Python 3.13);
+with a library of Unicode 16 every other code point was found to be treated alike.
+
 Defined results: null text is empty and has no tokens; decoding joins the tokens' strings
 by blanks, as a tokenizer without decoder does.
 """
@@ -21,21 +24,22 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import slices
 
 #: White space to the tokenizer; ``str.split`` also cuts at U+001C to U+001F.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Fixed values of the tokenizer's format: the pattern of words, the end-of-word mark.
-SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Fixed values of the tokenizer's format: contractions, the end-of-word mark.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_END = "</w>"
 CACHED = 300_000
 CACHED_CHARS = 64
@@ -48,6 +52,27 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+def _ranges(kind: str) -> str:
+    """The body of a character class of all code points of a general category, L or N."""
+    out, last = [], -2
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == kind:
+            if c != last + 1:
+                out.append([c, c])
+            out[-1][1] = last = c
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+def word_pattern() -> re.Pattern:
+    """Contractions, runs of letters, single numbers, runs of other signs.
+
+    Built from the interpreter's own Unicode tables: a newer table than the library's would
+    take code points for letters that it does not know.
+    """
+    letters, numbers = _ranges("L"), _ranges("N")
+    return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+
+
 class WordBpe:
     """A tokenizer from (vocabulary, merges, special tokens)."""
 
@@ -62,10 +87,10 @@ class WordBpe:
         self.merged = [self.ids[a + b] for a, b in spec["merges"]]
         self.ends = {c: self.ids[c + WORD_END] for c in byte_letters() if c + WORD_END in self.ids}
         self.letters = byte_letters()
-        self.split = regex.compile(SPLIT)
-        self.separators = regex.compile(r"[\x1c-\x1f]")
-        self.solid = regex.compile(f"[^{SPACE}]+")
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.split = word_pattern()
+        self.separators = re.compile(r"[\x1c-\x1f]")
+        self.solid = re.compile(f"[^{SPACE}]+")
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.chunks = _Kept(self.encode_chunk)
 
     @staticmethod
