@@ -353,7 +353,19 @@ def a2_hamming_histogram(spark, d):
     return approximate.histogram_hamming(items(spark, d), changed_words(spark, d), 2)
 
 
-@query()
+@query(
+    f"""WITH {SQL_DOCS}, {SQL_ITEMS}, p AS (
+    SELECT doc_id AS pat_id, length(text) AS m, substring(text, 1, (length(text) + 1) // 2 - 1) || '_' || substring(text, (length(text) + 1) // 2 + 1) AS pattern FROM items
+), seeds AS (
+    SELECT pat_id, off, substring(pattern, off + 1, 16) AS w FROM (SELECT *, unnest([0, m // 3, 2 * m // 3]) AS off FROM p)
+), {sql_windows('docs', 16, 16)}, cand AS (
+    SELECT DISTINCT doc_id, pat_id, pos - off AS pos FROM win JOIN seeds USING (w) WHERE pos >= off
+), v AS (
+    SELECT doc_id, pat_id, pos, m, string_split(pattern, '') AS p, string_split(substring(text, pos + 1, m), '') AS x FROM cand JOIN p USING (pat_id) JOIN docs USING (doc_id)
+)
+SELECT doc_id, pat_id, pos, m::INTEGER AS len, len(list_filter(range(1, m + 1), lambda i: p[i] <> x[i]))::INTEGER AS err FROM v
+WHERE len(x) = m AND len(list_filter(range(1, m + 1), lambda i: p[i] <> x[i])) <= 2"""
+)
 def a3_hamming_documents(spark, d):
     """Items with a changed symbol within two mismatches in all documents."""
     middle = F.expr("overlay(pattern placing '_' from int((char_length(pattern) + 1) / 2) for 1)")
