@@ -1,10 +1,11 @@
 """Size-tiered shards under a versioned manifest (DataFrame functions only).
 
 ``Store.append`` writes an arrival as small immutable Parquet files, without a shuffle, and
-commits a manifest that lists them beside those of before.  ``Store.compact`` puts files in
-tiers by size, merges each tier of at least ``fan_in`` files, with those of all smaller
-tiers, into files of about ``target_bytes``, by reading neighbouring files into one task,
-again without a shuffle, and commits the manifest that names the new files instead.  Files
+commits a manifest that lists them beside those of before.  ``Store.compact`` puts files
+below half the target in tiers of similar size (the largest at most ``RATIO`` times the
+smallest), merges the tiers of at least ``fan_in`` files into files of about
+``target_bytes``, by reading several files into one task, again without a shuffle, and
+commits the manifest that names the new files instead.  Files
 are never changed; readers see one version or another whole.
 
 A manifest is written beside its place and moved there without overwriting, so of two
@@ -20,7 +21,6 @@ later arrivals must have them.
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
+RATIO = 4
 
 
 @dataclass(frozen=True)
@@ -36,15 +37,21 @@ class Shard:
     n_bytes: int
     arrival: int
 
-    def tier(self, target_bytes: int) -> int:
-        """0 for files of half the target or more; one more for every fourth part of that."""
-        return max(0, math.ceil(math.log(target_bytes / 2 / max(self.n_bytes, 1), 4)))
-
 
 class Conflict(RuntimeError):
     """Another writer has committed this version first."""
 
 
+def tiers(shards: list[Shard]) -> list[list[Shard]]:
+    """Shards of similar size together, from the smallest on."""
+    out: list[list[Shard]] = []
+    for s in sorted(shards, key=lambda s: (s.n_bytes, s.path)):
+        if not out or s.n_bytes > RATIO * out[-1][0].n_bytes:
+            out.append([])
+        out[-1].append(s)
+    return out
+
+
 class Store:
     """A table of shards below ``root``."""
 
@@ -114,14 +121,11 @@ class Store:
     def compact(self) -> int:
         """Merges tiers that are due; the new version, or the old one if none is."""
         now = self.manifest()
-        tiers: dict[int, list[Shard]] = {}
-        for s in now["shards"]:
-            tiers.setdefault(s.tier(self.target_bytes), []).append(s)
-        due = [t for t, each in tiers.items() if t > 0 and len(each) >= self.fan_in]
+        due = [t for t in tiers([s for s in now["shards"] if 2 * s.n_bytes < self.target_bytes]) if len(t) >= self.fan_in]
         if not due:
             return now["version"]
-        merged = [s for t, each in tiers.items() if t >= min(due) for s in each]
-        left = [s for t, each in tiers.items() if t < min(due) for s in each]
+        merged = [s for t in due for s in t]
+        left = [s for s in now["shards"] if s not in merged]
         n = max(1, round(sum(s.n_bytes for s in merged) / self.target_bytes))
         rows = self._rows(now["schema"], merged)
         new = self._written(rows.coalesce(n), max(s.arrival for s in merged))

@@ -12,7 +12,7 @@ from lexiloom.llm.bloom import id_filter
 from lexiloom.llm.common import shared_dir
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.q_mixing import MIX_CTES
-from lexiloom.llm.sharding import Conflict, Store
+from lexiloom.llm.sharding import Conflict, Shard, Store, tiers
 from tests.llm import data
 from tests.llm.test_text_operators import collected, expected
 
@@ -92,6 +92,11 @@ def test_arrivals_compaction_versions(spark, tmp_path):
     assert store.compact() == version
 
 
+def test_tiers_hold_similar_sizes():
+    got = tiers([Shard(str(i), n, 1) for i, n in enumerate([100, 7, 30, 8, 29, 400, 401, 1])])
+    assert [[s.n_bytes for s in t] for t in got] == [[1], [7, 8], [29, 30, 100], [400, 401]]
+
+
 # ---- vectors
 
 
