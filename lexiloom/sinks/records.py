@@ -58,7 +58,7 @@ def sam_exact(found: DataFrame, patterns: DataFrame, names: DataFrame) -> DataFr
     """
     order = Window.partitionBy("pat_id").orderBy("strand", "doc_id", "pos")
     rows = found.join(patterns.select("pat_id", F.char_length("pattern").alias("m")), "pat_id").join(names, "doc_id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy("pat_id")))
+    rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("_n", F.count("*").over(Window.partitionBy("pat_id")))
     flag = F.when(F.col("rank") == 1, 0).otherwise(256) + F.when(F.col("strand") == "-", 16).otherwise(0)
     mapq = F.when((F.col("rank") == 1) & (F.col("_n") == 1), 60).otherwise(0)
     line = F.concat_ws(TAB, _named(), flag, "name", F.col("pos") + 1, mapq, F.concat(F.col("m").cast("string"), F.lit("=")), F.lit("*\t0\t0\t*\t*"))
