@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in whole copies; none where it takes less than half."""
+    """Whole copies of documents: each source's words are those that the mix takes of it, to half a document."""
     return mixing.copies(mixing.mix(docs.select(COLUMNS), SEED), COLUMNS)
 
 

@@ -9,6 +9,9 @@
    blocks; whole passes over the line first, then blocks in another seeded order.
 4. ``mix``: what each document gives: passes times its size plus its overlap with
    the chosen blocks, by two prefix lookups; no document is compared to another.
+5. ``copies``: whole documents.  Each is repeated once a pass; the rest of a source's
+   words is filled by the documents at the start of its line, up to the end nearest to it.
+   A source's copied words miss its taken words by half a document at most.
 
 The line is laid by two-level prefix sums (``2 ** 12`` slices a source), so that a
 source with a third of all rows is spread over as many tasks.  Tables of sources and
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import stored, words
 
-RESULTS = ("size", "source_size", "target", "taken")
+RESULTS = ("size", "source_size", "target", "taken", "copies")
 N_BLOCKS = 32_768
 MAX_REPEAT = 3
 SLICE_HEX = 3
@@ -63,7 +66,7 @@ def apportion(sources: DataFrame, n_shards: int = 1) -> DataFrame:
 
 
 def select_blocks(sources: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """(src, b, before, take, passes): words taken of each block of a line."""
+    """(src, b, before, take, passes, rest): words taken of each block of a line, and beyond whole passes."""
     won = quotas.groupBy("src").agg(F.sum("n_blocks").alias("won"))
     lines = (
         sources.where("source_size > 0")
@@ -78,11 +81,11 @@ def select_blocks(sources: DataFrame, quotas: DataFrame, seed: int) -> DataFrame
     left = F.col("rest") - F.coalesce(F.sum("length").over(drawn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("take", F.greatest(F.least(F.col("length"), left), F.lit(0).cast("long")))
     upto = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("before", F.coalesce(F.sum("take").over(upto), F.lit(0).cast("long"))).select("src", "b", "before", "take", "passes")
+    return each.withColumn("before", F.coalesce(F.sum("take").over(upto), F.lit(0).cast("long"))).select("src", "b", "before", "take", "passes", "rest")
 
 
 def mix(docs: DataFrame, seed: int = 7, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """``docs`` (doc_id, source, text and any others) with size, source_size, target, taken."""
+    """``docs`` (doc_id, source, text and any others) with size, source_size, target, taken, copies."""
     return _mix(docs, [c for c in docs.columns if c not in RESULTS], seed, n_blocks)
 
 
@@ -109,7 +112,7 @@ def _mix(docs: DataFrame, rest: list[str], seed: int, n_blocks: int) -> DataFram
     for at in ("start", "end"):
         found = blocks.select(
             F.col("src").alias("_src"), F.col("b").alias("_b"), F.col("before").alias("_before"), F.col("take").alias("_take"),
-            *([F.col("passes").alias("_passes")] if at == "start" else []),
+            *([F.col("passes").alias("_passes"), F.col("rest").alias("_rest")] if at == "start" else []),
         )
         # a document that ends with its line ends in its last block
         x = F.col(f"_{at}")
@@ -119,10 +122,11 @@ def _mix(docs: DataFrame, rest: list[str], seed: int, n_blocks: int) -> DataFram
         placed = placed.withColumn(f"_f_{at}", F.col("_before") + F.least(F.col("_take"), x - F.col("_b") * F.col("block")))
         placed = placed.drop("_src", "_b", "_before", "_take", "_at")
     taken = F.when(F.col("size") > 0, F.col("_passes") * F.col("size") + F.col("_f_end") - F.col("_f_start")).otherwise(0)
-    return placed.select(*rest, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    # the end of a line's documents that is nearest to the rest is that of the last one with half its words before it
+    times = F.when(F.col("size") > 0, F.col("_passes") + (2 * F.col("_start") + F.col("size") <= 2 * F.col("_rest")).cast("long")).otherwise(0)
+    return placed.select(*rest, "size", "source_size", "target", taken.cast("long").alias("taken"), times.cast("int").alias("copies"))
 
 
 def copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus: every document as often as its taken words, rounded, hold it."""
-    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    return mixed.where(times > 0).select(*columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_n")).drop("_n")
+    """The mixed corpus in whole documents: a source's words are those taken of it, to half a document."""
+    return mixed.where("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_n")).drop("_n")

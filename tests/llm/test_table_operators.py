@@ -51,6 +51,19 @@ def test_mix_of_next_to_nothing(spark, some):
     assert sum(r.taken for r in got.collect()) == sum(r.size for r in got.collect())
 
 
+@pytest.mark.parametrize("n_blocks", [40, mixing.N_BLOCKS])
+def test_copied_words_meet_the_words_taken(spark, n_blocks):
+    some = [(i, f"w{i} " * (150 + i % 90), "en", "a" if i < 300 else "bcdefg"[i % 6], 1) for i in range(420)]
+    mixed = mixing.mix(data.frame(spark, some), n_blocks=n_blocks)
+    taken, copied = {}, {}
+    for r in mixed.collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for r in mixing.copies(mixed, ["source", "size"]).collect():
+        copied[r.source] = copied.get(r.source, 0) + r.size
+    assert taken["a"] < 0.45 * sum(r.size for r in mixed.collect() if r.source == "a")
+    assert all(abs(copied.get(s, 0) - n) <= 120 for s, n in taken.items())
+
+
 def test_quotas_are_the_highest_quotients(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 1000), ("c", 10)], "source string, source_size long")
     targets = mixing.targets(sizes, n_blocks=50)
