@@ -6,7 +6,9 @@
    ``target / (2 q + 1)``: integer quotas, also for each output shard, since the
    ranked blocks are dealt to the shards in turn.
 3. ``select_blocks``: a source's documents lie on a line in seeded order, cut into
-   blocks; whole passes over the line first, then blocks in another seeded order.
+   blocks; whole passes over the line first, then blocks in another seeded order.  A
+   source whose quota is more than ``NEAR`` below its target, since it is small beside a
+   block, takes its target: its last block is a partial one.
 4. ``mix``: what each document gives: passes times its size plus its overlap with
    the chosen blocks, by two prefix lookups; no document is compared to another.
 5. ``copies``: whole documents.  Each is repeated once a pass; the rest of a source's
@@ -32,6 +34,7 @@ from lexiloom.llm.common import stored, words
 RESULTS = ("size", "source_size", "target", "taken", "copies")
 N_BLOCKS = 32_768
 MAX_REPEAT = 3
+NEAR = 0.01
 SLICE_HEX = 3
 
 
@@ -72,6 +75,7 @@ def select_blocks(sources: DataFrame, quotas: DataFrame, seed: int) -> DataFrame
         sources.where("source_size > 0")
         .join(won, "src", "left")
         .withColumn("words", F.least(F.coalesce("won", F.lit(0)) * F.col("block"), F.ceil("target"), F.col("cap")))
+        .withColumn("words", F.when(F.col("words") < (1 - NEAR) * F.col("target"), F.least(F.ceil("target"), F.col("cap"))).otherwise(F.col("words")))
         .withColumn("passes", F.floor(F.col("words") / F.col("source_size")))
         .withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     )

@@ -64,6 +64,16 @@ def test_copied_words_meet_the_words_taken(spark, n_blocks):
     assert all(abs(copied.get(s, 0) - n) <= 120 for s, n in taken.items())
 
 
+@pytest.mark.parametrize("n_blocks", [10, 300])
+def test_sources_smaller_than_a_block_take_their_target(spark, n_blocks):
+    some = [(i, "w " * 100, "en", "ab"[i % 2], 1) for i in range(400)]
+    some += [(1000 + 10 * k + i, "w " * (k + 1), "en", f"small{k:03}", 1) for k in range(40) for i in range(5)]
+    got = mixing.mix(data.frame(spark, some), n_blocks=n_blocks).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 42
+    assert all(abs(r.taken - r.target) <= max(1, 0.01 * r.target) for r in got if r.source > "b")
+    assert all(r.taken >= 0.99 * r.target for r in got)
+
+
 def test_quotas_are_the_highest_quotients(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 1000), ("c", 10)], "source string, source_size long")
     targets = mixing.targets(sizes, n_blocks=50)
