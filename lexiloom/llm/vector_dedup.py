@@ -3,8 +3,9 @@
 1. Equal vectors of a label collapse to one vertex with a weight.
 2. Pivots are drawn by hash, ``MAX_PIVOTS`` at most (a bounded sample, held by the driver),
    and thinned until those of a label lie at least 36.8 degrees apart.  A vector belongs to
-   the *cell* of its nearest pivot and, as a guest, to every other cell that may hold a
-   partner of its: those whose pivot is nearly as near.  Cells overlap that way.
+   the *cell* of its nearest pivot p and, as a guest, to every other cell that may hold a
+   partner of its.  A partner u in the cell of q has u(p - q) <= 0 and is at most a step
+   away, so x(p - q) <= step |p - q|: no link is lost.  Cells overlap that way.
 3. Vectors within half the linking angle of their pivot are its *core*: by the triangle
    inequality all of them are linked, so a hot ball of near copies needs a sum and no
    search.  Core vectors are searched only if the cell has others close enough to link.
@@ -17,8 +18,7 @@
    and a greedy walk need not find a small ball among near-orthogonal vectors.  What is
    found is verified in double precision.  A task returns sums and a spanning forest.
 6. A fixed number of vectors, chosen by hash, is compared with all vectors in blocks: the
-   recall.  Below ``LEAST_RECALL`` the search is done again with guests in all cells that
-   could matter by the triangle inequality and with every shard scanned in full.
+   recall.  Below ``LEAST_RECALL`` the search is done again with every shard scanned in full.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and those with a null label or id, link with nothing and are kept; vectors of unequal
@@ -82,13 +82,13 @@ def pivots_of(vectors: DataFrame) -> dict[tuple, np.ndarray]:
     return {k: np.array(p) for k, p in found.items()}
 
 
-def _placed(pivots, threshold: float, wide: bool):
+def _placed(pivots, threshold: float):
     angle = math.acos(threshold)
     core, ring = math.cos(angle / 2) + 1e-9, math.cos(1.5 * angle) - 1e-9
     step = math.sqrt(2 - 2 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             out: list[tuple[int, int, bool, bool, bool]] = []
             keys: dict[tuple, list[int]] = {}
             for r, (label, x) in enumerate(zip(batch.column("label").to_pylist(), batch.column("x"), strict=True)):
@@ -101,12 +101,13 @@ def _placed(pivots, threshold: float, wide: bool):
                 sims = _unit([batch.column("x")[r].values.to_numpy(zero_copy_only=False) for r in at]) @ of.T
                 best = sims.argmax(axis=1)
                 top = sims[np.arange(len(at)), best]
-                # how far two linked vectors may disagree about two pivots: for sure, or 4.5 deviations
-                gap = 2 * step if wide else min(2 * step, 4.5 * step * math.sqrt(2 / key[1]))
-                for r, b, t, s in zip(at, best.tolist(), top.tolist(), sims, strict=True):
+                # how far two linked vectors may disagree about two pivots
+                gap = step * np.sqrt(np.maximum(2 - 2 * (of[best] @ of.T), 0)) + 1e-9
+                guest = top[:, None] - sims <= gap
+                for r, b, t, g in zip(at, best.tolist(), top.tolist(), guest, strict=True):
                     out.append((r, b, True, t >= core, ring <= t < core))
                     if t < core:
-                        out += [(r, int(p), False, False, False) for p in np.flatnonzero(s >= t - gap) if p != b]
+                        out += [(r, int(p), False, False, False) for p in np.flatnonzero(g) if p != b]
             rows = pa.array([o[0] for o in out], pa.int64())
             cell = [
                 xxhash.xxh3_64_intdigest(f"{batch.column('label')[o[0]]}:{len(batch.column('x')[o[0]].values)}:{o[1]}") - (1 << 63) for o in out
@@ -269,10 +270,10 @@ def _searched(threshold: float, full: bool):
     return run
 
 
-def search(vectors: DataFrame, threshold: float, wide: bool = False) -> tuple[DataFrame, DataFrame]:
+def search(vectors: DataFrame, threshold: float, full: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of vertices (v, w, label, x): (v, links), the weight linked; and links (a, b) that span."""
     pivots = vectors.sparkSession.sparkContext.broadcast(pivots_of(vectors))
-    placed = stored(vectors.mapInArrow(_placed(pivots, threshold, wide), PLACED), "placed")
+    placed = stored(vectors.mapInArrow(_placed(pivots, threshold), PLACED), "placed")
     cells = placed.groupBy("cell").agg(
         F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("core_w"),
         F.min(F.when(F.col("core"), F.col("v"))).alias("core_v"),
@@ -298,7 +299,7 @@ def search(vectors: DataFrame, threshold: float, wide: bool = False) -> tuple[Da
         as_query.where(~both).select(*columns, F.lit(False), F.lit(True))
     )
     dealt = dealt.repartition("cell", "shard", "asking").sortWithinPartitions("cell", "shard", "asking", "v")
-    found = stored(dealt.mapInArrow(_searched(threshold, wide), FOUND), "found")
+    found = stored(dealt.mapInArrow(_searched(threshold, full), FOUND), "found")
 
     counts = found.where("v IS NOT NULL").select("v", "links").union(core.select("v", F.col("core_w") - F.col("w")))
     links = found.where("a IS NOT NULL").select("a", "b").union(core.where("v <> core_v").select(F.col("core_v").alias("a"), F.col("v").alias("b")))
@@ -341,7 +342,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     vectors = stored(full.groupBy("label", "h").agg(F.min("vec_id").alias("v"), F.count("*").alias("w"), F.first("x").alias("x")), "vertices")
     counts, links = search(vectors, threshold)
     if recall(vectors, counts, threshold) < LEAST_RECALL:
-        counts, links = search(vectors, threshold, wide=True)
+        counts, links = search(vectors, threshold, full=True)
     of = full.select("vec_id", "label", "h").join(vectors.select("label", "h", "v", "w"), ["label", "h"])
     equal = of.where("vec_id <> v").select(F.col("vec_id").alias("a"), F.col("v").alias("b"))
     component = connected_components(links.union(equal)).toDF("vec_id", "component_id")

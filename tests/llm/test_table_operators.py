@@ -164,6 +164,18 @@ def test_links_equal_brute_force(spark, monkeypatch, cell, shard, hot):
     assert collected(vector_dedup.near_vectors(df)) == links_of(some)
 
 
+@pytest.mark.parametrize(("between", "u", "w"), [(90, 43, 54.3), (115, 52, 63.4)])
+def test_links_along_the_line_between_two_pivots(spark, monkeypatch, between, u, w):
+    def at(degrees):
+        return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))] + [0.0] * 62
+
+    monkeypatch.setattr(vector_dedup, "pivots_of", lambda vectors: {(1, 64): np.array([at(0), at(between)])})
+    df = spark.createDataFrame([(1, 1, 1, at(u)), (2, 1, 1, at(w)), (3, 1, 1, at(-40))], "v long, w long, label int, x array<double>")
+    found = vector_dedup.search(df, 0.98)
+    assert {(r.v, r.links) for r in found[0].where("links > 0").collect()} == {(1, 1), (2, 1)}
+    assert {tuple(sorted(r)) for r in found[1].collect()} == {(1, 2)}
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
