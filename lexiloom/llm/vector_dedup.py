@@ -17,8 +17,10 @@
    a cell too large for one are scanned in full: there the query has no place of its own,
    and a greedy walk need not find a small ball among near-orthogonal vectors.  What is
    found is verified in double precision.  A task returns sums and a spanning forest.
-6. A fixed number of vectors, chosen by hash, is compared with all vectors in blocks: the
-   recall.  Below ``LEAST_RECALL`` the search is done again with every shard scanned in full.
+6. A fixed number of the vectors that were searched is compared with all vectors in
+   blocks: linked ones, spread by hash over cells and numbers of links so that hot balls do
+   not crowd the others out, and as many for which no link was found.  If the links of any
+   differ from those found, the search is done again with every shard scanned in full.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and those with a null label or id, link with nothing and are kept; vectors of unequal
@@ -46,7 +48,8 @@ MAX_PIVOTS = 4096
 APART = 0.8
 DEGREE, BACK, POOL, ALPHA = 24, 40, 64, 1.2
 BEAM, EXPAND, STARTS = 32, 8, 32
-AUDITED, LEAST_RECALL = 256, 0.999
+#: Audited vertices with links, and without; slots of a cell's vertices with about as many links.
+AUDITED, SLOTS = 256, 16
 #: Similarities of single precision that are verified in double.
 MARGIN = 1e-4
 
@@ -270,8 +273,8 @@ def _searched(threshold: float, full: bool):
     return run
 
 
-def search(vectors: DataFrame, threshold: float, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Of vertices (v, w, label, x): (v, links), the weight linked; and links (a, b) that span."""
+def search(vectors: DataFrame, threshold: float, full: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of vertices (v, w, label, x): (v, links), the weight linked; links (a, b) that span; the searched (v, cell)."""
     pivots = vectors.sparkSession.sparkContext.broadcast(pivots_of(vectors))
     placed = stored(vectors.mapInArrow(_placed(pivots, threshold), PLACED), "placed")
     cells = placed.groupBy("cell").agg(
@@ -286,6 +289,8 @@ def search(vectors: DataFrame, threshold: float, full: bool = False) -> tuple[Da
     rows = placed.join(cells.select("cell", "n_ring", "n_shards"), "cell").where("NOT core OR n_ring > 0")
     rows = stored(rows.withColumn("shard", F.pmod(F.xxhash64("v"), F.col("n_shards")).cast("int")).drop("n_ring"), "shards")
 
+    asked = rows.where("own").select("v", "cell")
+
     lists = rows.select("cell", "shard", "v", "x").repartition("cell", "shard").sortWithinPartitions("cell", "shard")
     lists = lists.mapInArrow(_adjacent, "v long, near array<long>")
     flat = stored(lists.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
@@ -303,13 +308,18 @@ def search(vectors: DataFrame, threshold: float, full: bool = False) -> tuple[Da
 
     counts = found.where("v IS NOT NULL").select("v", "links").union(core.select("v", F.col("core_w") - F.col("w")))
     links = found.where("a IS NOT NULL").select("a", "b").union(core.where("v <> core_v").select(F.col("core_v").alias("a"), F.col("v").alias("b")))
-    return stored(counts.groupBy("v").agg(F.sum("links").alias("links")), "counts"), links
-
-
-def recall(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Links found by those that brute force finds, for AUDITED vertices against all."""
-    asked = vectors.orderBy(F.xxhash64("v", F.lit("audit")), "v").limit(AUDITED)
-    rows = asked.join(counts, "v", "left").select("v", "label", "x", F.coalesce("links", F.lit(0)).alias("links")).collect()
+    return stored(counts.groupBy("v").agg(F.sum("links").alias("links")), "counts"), links, asked
+
+
+def missed(vectors: DataFrame, counts: DataFrame, asked: DataFrame, threshold: float) -> int:
+    """How many of the audited ``asked`` (v, cell) have other links than brute force finds."""
+    drawn = F.xxhash64("v", F.lit("audit"))
+    known = asked.join(counts, "v", "left").select("v", "cell", F.coalesce("links", F.lit(0)).alias("links"), drawn.alias("at"))
+    alike = known.where("links > 0").groupBy("cell", F.floor(F.log2("links")).alias("size"), F.pmod("at", F.lit(SLOTS)).alias("slot"))
+    linked = alike.agg(F.min_by("v", "at").alias("v")).orderBy(drawn, "v").limit(AUDITED)
+    lone = known.where("links = 0").orderBy("at", "v").limit(AUDITED)
+    ids = linked.select("v").union(lone.select("v")).distinct()
+    rows = vectors.join(ids, "v").join(counts, "v", "left").select("v", "label", "x", F.coalesce("links", F.lit(0)).alias("links")).collect()
     shared = vectors.sparkSession.sparkContext.broadcast([(r.v, r.label, r.x) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +339,8 @@ def recall(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
                     sums[i] = sums.get(i, 0) + int(w[at][hit[k] & (ids[at] != i)].sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["v", "links"])
 
-    true = vectors.mapInArrow(run, "v long, links long").agg(F.sum("links")).first()[0] or 0
-    return min(1.0, sum(r.links for r in rows) / true) if true else 1.0
+    true = {r.v: r.links for r in vectors.mapInArrow(run, "v long, links long").groupBy("v").agg(F.sum("links").alias("links")).collect()}
+    return sum(true.get(v, 0) != links for v, links in {r.v: r.links for r in rows}.items())
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -340,9 +350,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     made = stored(made.mapInArrow(_prepared, kind), "vectors")
     full = made.where("h IS NOT NULL")
     vectors = stored(full.groupBy("label", "h").agg(F.min("vec_id").alias("v"), F.count("*").alias("w"), F.first("x").alias("x")), "vertices")
-    counts, links = search(vectors, threshold)
-    if recall(vectors, counts, threshold) < LEAST_RECALL:
-        counts, links = search(vectors, threshold, full=True)
+    counts, links, asked = search(vectors, threshold)
+    if missed(vectors, counts, asked, threshold):
+        counts, links, _ = search(vectors, threshold, full=True)
     of = full.select("vec_id", "label", "h").join(vectors.select("label", "h", "v", "w"), ["label", "h"])
     equal = of.where("vec_id <> v").select(F.col("vec_id").alias("a"), F.col("v").alias("b"))
     component = connected_components(links.union(equal)).toDF("vec_id", "component_id")

@@ -176,6 +176,26 @@ def test_links_along_the_line_between_two_pivots(spark, monkeypatch, between, u,
     assert {tuple(sorted(r)) for r in found[1].collect()} == {(1, 2)}
 
 
+def test_links_lost_beside_a_hot_ball_are_searched_again(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    ball = draw.normal(size=32)
+    some = [(i, (ball + 0.02 * draw.normal(size=32)).tolist(), 1) for i in range(600)]
+    for k in range(50):
+        x = draw.normal(size=32)
+        some += [(1000 + 2 * k + j, (x + 0.02 * draw.normal(size=32)).tolist(), 1) for j in range(2)]
+    real = vector_dedup.search
+
+    def lossy(vectors, threshold, *full, **named):
+        counts, links, *rest = real(vectors, threshold, *full, **named)
+        return (counts, links, *rest) if full or named else (counts.where("links > 1"), links.where("a < 1000"), *rest)
+
+    monkeypatch.setattr(vector_dedup, "search", lossy)
+    df = spark.createDataFrame(some, "vec_id long, embedding array<double>, label int")
+    got = vector_dedup.near_vectors(df).collect()
+    assert {r.n_links for r in got if r.vec_id < 1000} == {599}
+    assert all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got if r.vec_id >= 1000)
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
