@@ -2,8 +2,8 @@
 
 A search visits the parts in an order and bounds the errors seen so far after each.  A
 scheme is complete if every way to spread at most k errors passes one of its searches;
-``uncovered`` tells.  For exact answers the scheme is a plan: the joins of
-``operators.approximate`` seed with the parts that a search starts with at no error.
+``uncovered`` tells.  Schemes are built and checked here only: the joins of
+``operators.approximate`` take none and seed with k + 1 equal parts, or ``parts`` of them.
 """
 
 from __future__ import annotations
