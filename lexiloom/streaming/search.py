@@ -14,12 +14,18 @@ from lexiloom.operators.windows import windows
 
 
 def search_stream(texts: DataFrame, patterns: DataFrame, q: int, longest: int) -> DataFrame:
-    """(doc_id, pat_id, pos) for a streaming (pat_id, pattern), patterns of q to ``longest`` characters.
+    """(doc_id, pat_id, pos) for a streaming (pat_id, pattern), patterns of any length but 0.
 
+    Patterns of ``q`` characters or more are seeded with q, shorter ones with their first.
+    ``longest`` bounds nothing: hits are compared with the whole text.
     A stream-static equi-join: no state is kept, so nothing grows with the stream.
     """
-    seeds = patterns.where(F.char_length("pattern").between(q, longest)).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
-    return _found(seeds.join(windows(texts, q), "window"), texts).select("doc_id", "pat_id", "pos")
+    long, short = F.char_length("pattern") >= q, F.char_length("pattern").between(1, q - 1)
+    found = [
+        _found(patterns.where(some).select("pat_id", "pattern", F.substring("pattern", 1, n).alias("window")).join(windows(texts, n), "window"), texts)
+        for some, n in ((long, q), (short, 1))
+    ]
+    return found[0].select("doc_id", "pat_id", "pos").union(found[1].select("doc_id", "pat_id", "pos"))
 
 
 def _found(hits: DataFrame, texts: DataFrame) -> DataFrame:
