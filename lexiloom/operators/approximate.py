@@ -3,7 +3,9 @@
 With at most k errors one of k + 1 parts of a pattern is untouched.  The first characters
 of every part are joined with the texts' windows by equality, candidates are made distinct
 before they are verified, and no pair of text and pattern is ever compared otherwise.
-Patterns must be longer than their number of parts.
+Patterns are grouped by the length of the seeds that their parts allow, a join for each, and
+candidates meet the chunk that holds them, not the text.  A pattern of k characters or
+fewer, which k errors may change wholly, has every position for a candidate.
 """
 
 from __future__ import annotations
@@ -14,38 +16,53 @@ from pyspark.sql import functions as F
 from lexiloom.functions.alignment import edit_alignment, edit_window, hamming_alignment
 from lexiloom.functions.strings import hamming, reverse_complement
 from lexiloom.operators.exact import locate as locate_exact
-from lexiloom.operators.windows import length_of, part_bounds, windows
+from lexiloom.operators.windows import length_of, looked_up, part_bounds, seed_length, windows
+from lexiloom.plans.schemes import Scheme, pigeonhole
 
 
-def candidates(texts: DataFrame, patterns: DataFrame, k: int, slack: int, parts: int | None = None) -> DataFrame:
-    """(doc_id, pat_id, pos): distinct starts where a pattern may lie, up to ``slack`` shifted."""
-    parts = parts or k + 1
-    shortest, _ = length_of(patterns)
-    if shortest <= parts:
-        raise ValueError(f"patterns must have more than {parts} characters to be searched with {k} errors")
-    q = min(shortest // parts, 16)
+def candidates(texts: DataFrame, patterns: DataFrame, k: int, slack: int, scheme: Scheme | None = None) -> DataFrame:
+    """(doc_id, pat_id, pos): distinct starts where a pattern may lie, up to ``slack`` shifted.
+
+    ``scheme`` says in how many parts a pattern is cut and which stretches of them are found
+    without error (pigeonhole by default: each part).  The longest piece of 1, 2, 4, 8 or 16
+    characters at a stretch's start is looked for.
+    """
+    scheme = scheme or pigeonhole(k)
+    if scheme.k != k:
+        raise ValueError(f"a scheme for {scheme.k} errors does not do for {k}")
     m = F.char_length("pattern")
-    starts = F.array(*part_bounds(m, parts)[:-1])
-    seeds = patterns.select("pat_id", F.explode(starts).alias("off"), "pattern")
-    seeds = seeds.select("pat_id", "off", F.substring("pattern", F.col("off") + 1, F.lit(q)).alias("window"))
-    hits = windows(texts, q).join(seeds, "window").select("doc_id", "pat_id", (F.col("pos") - F.col("off")).alias("pos"))
+    bounds = part_bounds(m, scheme.parts)
+    stretches = F.array(*(F.struct(bounds[a].alias("off"), (bounds[b] - bounds[a]).alias("n")) for a, b in scheme.seeds()))
+    seeds = patterns.where(m >= scheme.parts).select("pat_id", "pattern", F.explode(stretches).alias("s")).select("pat_id", "s.off", "s.n", "pattern")
+    out = None
+    for q in sorted(r.q for r in seeds.select(seed_length(F.col("n")).alias("q")).distinct().collect()):
+        some = seeds.where(seed_length(F.col("n")) == q).select("pat_id", "off", F.substring("pattern", F.col("off") + 1, F.lit(q)).alias("window"))
+        hits = windows(texts, q).join(some, "window").select("doc_id", "pat_id", (F.col("pos") - F.col("off")).alias("pos"))
+        out = hits if out is None else out.union(hits)
+    if out is None:
+        out = texts.sparkSession.createDataFrame([], "doc_id long, pat_id long, pos long")
     if slack:
-        hits = hits.withColumn("pos", F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)))
-    return hits.where("pos >= 0").distinct()
+        out = out.withColumn("pos", F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)))
+    short = patterns.where(m.between(1, scheme.parts - 1))
+    if not short.isEmpty():
+        # an equi-join on a constant: the answer itself has a row for nearly every position
+        everywhere = windows(texts, 1).select("doc_id", "pos", F.lit(1).alias("_one"))
+        out = out.union(everywhere.join(F.broadcast(short.select("pat_id", F.lit(1).alias("_one"))), "_one").select("doc_id", "pat_id", "pos"))
+    return out.where("pos >= 0").distinct()
 
 
 def _verified(texts: DataFrame, patterns: DataFrame, found: DataFrame, tail: int) -> DataFrame:
-    rows = found.join(patterns.select("pat_id", "pattern"), "pat_id").join(texts.select("doc_id", "text"), "doc_id")
-    window = F.substring("text", (F.col("pos") + 1).cast("int"), F.char_length("pattern") + tail)
-    return rows.where(F.col("pos") < F.char_length("text")).select("doc_id", "pat_id", "pos", "pattern", window.alias("w"))
+    """Candidates with the pattern and, as ``w``, the text from there on, its length and ``tail`` more."""
+    rows = found.join(patterns.select("pat_id", "pattern"), "pat_id").select("doc_id", "pat_id", "pos", "pattern")
+    return looked_up(texts, rows, F.char_length("pattern") + tail, length_of(patterns)[1] + tail).where("w <> ''")
 
 
-def locate_hamming(texts: DataFrame, patterns: DataFrame, k: int, parts: int | None = None, cigars: bool = False) -> DataFrame:
+def locate_hamming(texts: DataFrame, patterns: DataFrame, k: int, scheme: Scheme | None = None, cigars: bool = False) -> DataFrame:
     """(doc_id, pat_id, pos, len, err[, cigar, md, runs]): all positions with at most k mismatches."""
     if k == 0 and not cigars:
         m = patterns.select("pat_id", F.char_length("pattern").alias("len"))
         return locate_exact(texts, patterns).join(m, "pat_id").select("doc_id", "pat_id", "pos", "len", F.lit(0).alias("err"))
-    rows = _verified(texts, patterns, candidates(texts, patterns, k, 0, parts), 0)
+    rows = _verified(texts, patterns, candidates(texts, patterns, k, 0, scheme), 0)
     rows = rows.where(F.char_length("w") == F.char_length("pattern")).withColumn("err", hamming(F.col("pattern"), F.col("w"))).where(F.col("err") <= k)
     if not cigars:
         return rows.select("doc_id", "pat_id", "pos", F.char_length("pattern").alias("len"), "err")
@@ -73,18 +90,18 @@ def histogram_hamming(texts: DataFrame, patterns: DataFrame, k: int) -> DataFram
     return rows.union(flat)
 
 
-def locate_edit(texts: DataFrame, patterns: DataFrame, k: int, cigars: bool = False) -> DataFrame:
+def locate_edit(texts: DataFrame, patterns: DataFrame, k: int, scheme: Scheme | None = None, cigars: bool = False) -> DataFrame:
     """(doc_id, pat_id, pos, len, err[, cigar, md, runs]): for every start with a window within
     k edits, the shortest of the windows of smallest distance."""
-    rows = _verified(texts, patterns, candidates(texts, patterns, k, k), k)
+    rows = _verified(texts, patterns, candidates(texts, patterns, k, k, scheme), k)
     made = (edit_alignment(k) if cigars else edit_window(k))("pattern", "w")
     rows = rows.withColumn("a", made).where(F.col("a.err") <= k)
     more = ["a.cigar", "a.md", "a.runs"] if cigars else []
     return rows.select("doc_id", "pat_id", "pos", "a.len", "a.err", *more)
 
 
-def locate(texts: DataFrame, patterns: DataFrame, k: int, metric: str, cigars: bool = False) -> DataFrame:
-    return (locate_hamming if metric == "hamming" else locate_edit)(texts, patterns, k, cigars=cigars)
+def locate(texts: DataFrame, patterns: DataFrame, k: int, metric: str, scheme: Scheme | None = None, cigars: bool = False) -> DataFrame:
+    return (locate_hamming if metric == "hamming" else locate_edit)(texts, patterns, k, scheme, cigars)
 
 
 def without_redundant(found: DataFrame, k: int, keys: tuple[str, ...] = ("doc_id", "pat_id")) -> DataFrame:
@@ -123,19 +140,18 @@ def effective_intervals(intervals: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("i", "len", "err")
 
 
-def align_reads(texts: DataFrame, reads: DataFrame, k: int, metric: str = "edit", parts: int | None = None, reverse: bool = True, filtered: bool = True) -> DataFrame:
+def align_reads(texts: DataFrame, reads: DataFrame, k: int, metric: str = "edit", scheme: Scheme | None = None, reverse: bool = True, filtered: bool = True) -> DataFrame:
     """Hits (doc_id, pat_id, strand, pos, len, err, cigar, md, runs) of both strands of ``reads``.
 
-    Reads too short to be cut in parts have none.
+    Empty reads have none.
     """
-    parts = parts or k + 1
-    usable = reads.where(F.char_length("pattern") > parts) if k else reads
-    strands = [("+", usable)]
+    reads = reads.where("pattern <> ''")
+    strands = [("+", reads)]
     if reverse:
-        strands.append(("-", usable.withColumn("pattern", reverse_complement(F.col("pattern")))))
+        strands.append(("-", reads.withColumn("pattern", reverse_complement(F.col("pattern")))))
     out = None
     for strand, each in strands:
-        hits = locate(texts, each.select("pat_id", "pattern"), k, metric, cigars=True).withColumn("strand", F.lit(strand))
+        hits = locate(texts, each.select("pat_id", "pattern"), k, metric, scheme, cigars=True).withColumn("strand", F.lit(strand))
         out = hits if out is None else out.union(hits)
     if filtered:
         out = without_redundant(out, k, ("doc_id", "pat_id", "strand"))

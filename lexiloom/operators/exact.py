@@ -1,12 +1,12 @@
-"""Exact search: texts and patterns meet in one equi-join on their first characters.
-
-Every pattern is found by its first ``q`` characters, q the length of the shortest pattern
-(``MOST_SEED`` at most).  The rest is compared where those agree: with some characters more
-that were taken with the window, if all patterns have at most ``TAIL``, else with the text,
-which is joined then.  So what is made for every position is bounded.  The join is left to the
-optimizer: a small pattern table is broadcast, a large one is shuffled with skewed seeds
-split at run time.  Occurrences overlap, positions count from 0, and a pattern with a
-symbol that no text has finds nothing.
+"""Exact search: texts and patterns meet in equi-joins on the patterns' first characters.
+
+Patterns are grouped by the length of their seed, the longest of 1, 2, 4, 8 and 16
+characters that they have: one join for each class in use, so that a short pattern costs a
+join of its own and no other pattern anything.  What follows the seed is compared in the
+chunk that holds it: a small set of patterns (``FEW``, counted) carries the chunk through
+the join; for larger sets and long patterns only hits of the seeds meet the chunks again.
+Occurrences overlap, positions count from 0, and a pattern with a symbol that no text has
+finds nothing.
 """
 
 from __future__ import annotations
@@ -15,34 +15,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.strings import common_prefix, reverse_complement
-from lexiloom.operators.windows import array_windows, length_of, windows, windows_with_tail
+from lexiloom.operators.windows import CHUNK, array_windows, length_of, looked_up, seed_classes, seed_length, windows, windows_in_chunks
 
-MOST_SEED = 12
-TAIL = 64
+#: Patterns of a class that are joined without a shuffle of the texts: a few megabytes of seeds.
+FEW = 50_000
 #: Suffixes below this length are looked up among all short strings of the texts.
 SHORT = 6
 
 
+def matches(texts: DataFrame, patterns: DataFrame, behind: int = 0) -> DataFrame:
+    """(doc_id, pat_id, pos, m, w) for every occurrence of every not empty pattern: ``w`` is the
+    pattern, of m characters, and up to ``behind`` characters that follow it."""
+    m = F.char_length("pattern")
+    found = None
+    for q, long, n, longest in seed_classes(patterns, m, CHUNK - behind):
+        some = patterns.where((seed_length(m) == q) & ((m > CHUNK - behind) == long))
+        seeds = some.select("pat_id", "pattern", m.alias("m"), F.substring("pattern", 1, q).alias("window"))
+        if n <= FEW and not long:
+            hits = windows_in_chunks(texts, q, longest + behind).join(F.broadcast(seeds), "window")
+            hits = hits.withColumn("w", F.substring("part", F.col("at"), F.col("m") + behind))
+        else:
+            hits = windows(texts, q).join(seeds, "window").select("doc_id", "pat_id", "pos", "pattern", "m")
+            hits = looked_up(texts, hits, F.col("m") + behind, longest + behind)
+        hits = hits.where(F.col("w").startswith(F.col("pattern"))).select("doc_id", "pat_id", "pos", "m", "w")
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return texts.sparkSession.createDataFrame([], "doc_id long, pat_id long, pos long, m int, w string")
+    return found
+
+
 def locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, pat_id, pos) for every occurrence of every not empty pattern."""
-    shortest, longest = length_of(patterns)
-    if not longest:
-        return texts.sparkSession.createDataFrame([], "doc_id long, pat_id long, pos long")
-    q = min(shortest, MOST_SEED)
-    seeds = patterns.where(F.char_length("pattern") > 0).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
-    if q < longest <= TAIL:
-        return _with_tail(texts, seeds, q, longest).select("doc_id", "pat_id", "pos")
-    hits = windows(texts, q).join(seeds, "window")
-    if shortest == longest == q:
-        return hits.select("doc_id", "pat_id", "pos")
-    rows = hits.select("doc_id", "pat_id", "pos", "pattern").join(texts.select("doc_id", "text"), "doc_id")
-    same = F.substring("text", (F.col("pos") + 1).cast("int"), F.char_length("pattern")) == F.col("pattern")
-    return rows.where(same).select("doc_id", "pat_id", "pos")
-
-
-def _with_tail(texts: DataFrame, seeds: DataFrame, q: int, tail: int) -> DataFrame:
-    """Occurrences with pattern and tail: what begins there, up to ``tail`` characters."""
-    return windows_with_tail(texts, q, tail).join(seeds, "window").where(F.col("tail").startswith(F.col("pattern")))
+    return matches(texts, patterns).select("doc_id", "pat_id", "pos")
 
 
 def count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -88,15 +92,7 @@ def extensions(texts: DataFrame, patterns: DataFrame, side: str) -> DataFrame:
     if side == "left":
         texts = texts.select("doc_id", F.reverse("text").alias("text"))
         patterns = patterns.select("pat_id", F.reverse("pattern").alias("pattern"))
-    shortest, longest = length_of(patterns)
-    if 0 < longest < TAIL:
-        q = min(shortest, MOST_SEED)
-        seeds = patterns.where(F.char_length("pattern") > 0).select("pat_id", "pattern", F.substring("pattern", 1, q).alias("window"))
-        rows = _with_tail(texts, seeds, q, longest + 1)
-        symbol = rows.select("pat_id", F.substring("tail", F.char_length("pattern") + 1, F.lit(1)).alias("symbol"))
-    else:
-        found = locate(texts, patterns).join(patterns.select("pat_id", F.char_length("pattern").alias("m")), "pat_id")
-        symbol = found.join(texts, "doc_id").select("pat_id", neighbour("right").alias("symbol"))
+    symbol = matches(texts, patterns, 1).select("pat_id", F.expr("substring(w, m + 1, 1)").alias("symbol"))
     return symbol.where("symbol <> ''").groupBy("pat_id", "symbol").agg(F.count("*").alias("n"))
 
 
@@ -108,14 +104,15 @@ def longest_suffix(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     back = texts.select("doc_id", F.reverse("text").alias("text"))
     turned = patterns.select("pat_id", F.reverse("pattern").alias("pattern"))
-    longest = max(length_of(patterns)[1], 1)
-    heads = windows_with_tail(back, 1, SHORT - 1).select("tail").distinct()
+    longest = max(length_of(patterns)[1], SHORT)
+    heads = windows_in_chunks(back, 1, SHORT - 1).select(F.expr(f"substring(part, at, {SHORT - 1})").alias("tail")).distinct()
     heads = heads.select(F.explode(F.expr("transform(sequence(1, char_length(tail)), i -> left(tail, i))")).alias("head")).distinct()
     asked = turned.select("pat_id", F.explode(F.expr(f"transform(sequence(1, {SHORT - 1}), i -> left(pattern, i))")).alias("head"))
     short = asked.join(heads, "head").select("pat_id", F.char_length("head").alias("length"))
     seeds = turned.select("pat_id", "pattern", F.substring("pattern", 1, SHORT).alias("window"))
-    rows = windows_with_tail(back, SHORT, longest).join(seeds, "window")
-    long = rows.select("pat_id", common_prefix(F.col("pattern"), F.col("tail")).alias("length"))
+    hits = windows(back, SHORT).join(seeds, "window").select("doc_id", "pos", "pat_id", "pattern")
+    rows = looked_up(back, hits, F.char_length("pattern"), longest)
+    long = rows.select("pat_id", common_prefix(F.col("pattern"), F.col("w")).alias("length"))
     found = short.union(long).groupBy("pat_id").agg(F.max("length").alias("length"))
     return patterns.select("pat_id").join(found, "pat_id", "left").select("pat_id", F.coalesce("length", F.lit(0)).alias("length"))
 
@@ -150,5 +147,6 @@ def paged(found: DataFrame, limit: int) -> DataFrame:
 
 def checked(found: DataFrame, texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Occurrences that do not hold when compared with the text: none, if all is well."""
-    rows = found.join(patterns.select("pat_id", "pattern"), "pat_id").join(texts, "doc_id")
-    return rows.where(F.substring("text", (F.col("pos") + 1).cast("int"), F.char_length("pattern")) != F.col("pattern")).select(found.columns)
+    rows = found.join(patterns.select("pat_id", "pattern"), "pat_id")
+    held = looked_up(texts, rows, F.char_length("pattern"), length_of(patterns)[1]).where("w = pattern").select(found.columns)
+    return found.join(held, found.columns, "left_anti")

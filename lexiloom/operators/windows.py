@@ -1,8 +1,8 @@
 """All windows of a length, made in linear time.
 
-``substring`` walks a string from its start, so a window a position would be quadratic;
-texts are cut in chunks that overlap by a window's length less one, and windows are taken
-within chunks.
+``substring`` walks a string from its start, so a window a position would be quadratic.
+Texts are cut once in pieces by a regular expression, in one pass; a piece and the start of
+the next ones make a chunk, and windows are taken within chunks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 256
+#: Lengths of the pieces in which stretches are looked up.
+SIZES = [CHUNK << (2 * i) for i in range(12)]
+#: Seeds have one of these lengths, so that a short pattern does not shorten those of others.
+SEEDS = (1, 2, 4, 8, 16)
 
 
 def spread(texts: DataFrame) -> DataFrame:
@@ -25,32 +29,56 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(cores)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunks(texts: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
-    """(doc_id, base, part, n): pieces of ``size`` characters and up to ``overlap`` more; n starts in each."""
-    n = F.char_length("text")
-    pieces = spread(texts).select("doc_id", "text", n.alias("n_text"), F.explode(F.sequence(F.lit(0), F.greatest((n - 1) / size, F.lit(0)).cast("int"))).alias("c"))
-    base = (F.col("c").cast("long") * size).alias("base")
-    return pieces.select("doc_id", base, F.substring("text", F.col("c") * size + 1, F.lit(size + overlap)).alias("part"), "n_text")
+    """(doc_id, c, part): piece c of ``size`` characters and up to ``overlap`` more, at most ``size``."""
+    if overlap > size:
+        raise ValueError("chunks overlap by their own length at most")
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % size), 0)
+    joined = lambda p: F.transform(p, lambda x, c: F.concat(x, F.substring(F.coalesce(F.get(p, c + 1), F.lit("")), 1, overlap)))
+    rows = spread(texts).select("doc_id", F.posexplode(let(pieces, joined) if overlap else pieces).alias("c", "part"))
+    return rows.select("doc_id", F.col("c").cast("long").alias("c"), "part")
+
+
+def _exploded(pieces: DataFrame, q: int, size: int, *keep: str) -> DataFrame:
+    """(doc_id, pos, at, window, *keep): each window of the pieces; it begins at ``at`` (from 1) in its own."""
+    last = F.least(F.lit(size), F.char_length("part") - q + 1)
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    rows = pieces.select("doc_id", "c", *keep, F.posexplode(F.transform(starts, lambda i: F.substring("part", i, F.lit(q)))).alias("i", "window"))
+    return rows.select("doc_id", (F.col("c") * size + F.col("i")).alias("pos"), (F.col("i") + 1).alias("at"), "window", *keep)
 
 
-def windows(texts: DataFrame, q: int, size: int = CHUNK) -> DataFrame:
+def windows(texts: DataFrame, q: int) -> DataFrame:
     """(doc_id, pos, window): every window of ``q`` characters; pos counts from 0."""
-    return _exploded(chunks(texts, q - 1, size), q, size, lambda part, i: F.substring(part, i, F.lit(q)), "window")
+    size = size_for(q)
+    return _exploded(chunks(texts, q - 1, size), q, size).select("doc_id", "pos", "window")
 
 
-def windows_with_tail(texts: DataFrame, q: int, longest: int) -> DataFrame:
-    """(doc_id, pos, window, tail): the window, and up to ``longest`` characters from its start."""
-    size = max(CHUNK, longest)
-    made = lambda part, i: F.struct(F.substring(part, i, F.lit(q)).alias("window"), F.substring(part, i, F.lit(longest)).alias("tail"))
-    rows = _exploded(chunks(texts, longest - 1, size), q, size, made, "w")
-    return rows.select("doc_id", "pos", "w.window", "w.tail")
+def windows_in_chunks(texts: DataFrame, q: int, longest: int) -> DataFrame:
+    """(doc_id, pos, at, window, part): windows with a chunk that holds ``longest`` characters from each start."""
+    size = size_for(longest)
+    return _exploded(chunks(texts, longest - 1, size), q, size, "part")
 
 
-def _exploded(pieces: DataFrame, q: int, size: int, made, name: str) -> DataFrame:
-    last = F.least(F.lit(size), F.char_length("part") - q + 1)
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    rows = pieces.select("doc_id", "base", F.posexplode(F.transform(starts, lambda i: made(F.col("part"), i))).alias("i", name))
-    return rows.select("doc_id", (F.col("base") + F.col("i")).alias("pos"), name)
+def size_for(longest: int) -> int:
+    """The smallest size of pieces of which two hold any stretch of ``longest`` characters."""
+    return next((s for s in SIZES if s >= longest), max(longest, SIZES[-1]))
+
+
+def looked_up(texts: DataFrame, rows: DataFrame, length: Column, longest: int) -> DataFrame:
+    """``rows`` (doc_id, pos, ...) with ``w``, up to ``length`` characters (``longest`` at most) from pos on.
+
+    Rows meet the chunk that holds their start, not the text: what is walked for each is
+    bounded by the longest stretch asked for, however long the text.
+    """
+    size = size_for(max(longest, 1))
+    held = chunks(texts, size, size).select(F.col("doc_id").alias("_doc"), F.col("c").alias("_c"), F.col("part").alias("_part"))
+    met = rows.join(held, (F.col("doc_id") == F.col("_doc")) & (F.floor(F.col("pos") / size) == F.col("_c")))
+    return met.select(*rows.columns, F.substring("_part", (F.col("pos") - F.col("_c") * size + 1).cast("int"), length).alias("w"))
 
 
 def symbols(texts: DataFrame) -> DataFrame:
@@ -72,6 +100,19 @@ def length_of(patterns: DataFrame, pattern: str = "pattern") -> tuple[int, int]:
     return low or 0, high or 0
 
 
+def seed_length(m: Column) -> Column:
+    """The longest seed that a stretch of ``m`` characters has; null for none."""
+    return F.greatest(*(F.when(m >= s, F.lit(s)) for s in SEEDS))
+
+
+def seed_classes(patterns: DataFrame, seed: Column, room: int = CHUNK) -> list[tuple[int, bool, int, int]]:
+    """(seed length, whether patterns are longer than ``room``, patterns, longest) of the classes
+    in use: two rows for each of SEEDS at most."""
+    m = F.char_length("pattern")
+    found = patterns.groupBy(seed_length(seed).alias("q"), (m > room).alias("long")).agg(F.count("*").alias("n"), F.max(m).alias("m"))
+    return sorted((r.q, r.long, r.n, r.m) for r in found.where("q IS NOT NULL").collect())
+
+
 def part_bounds(m: Column, parts: int) -> list[Column]:
     """Starts of ``parts`` parts of a pattern of length ``m``, and its end: ``(p * m) div parts``."""
     return [F.floor(m * p / parts).cast("int") for p in range(parts + 1)]

@@ -110,10 +110,12 @@ SQL_CHANGED = "changed AS (SELECT pat_id, substring(pattern, 1, (length(pattern)
 SQL_NAMES = "names AS (SELECT row_number() OVER (ORDER BY pattern) AS pat_id, pattern FROM (SELECT DISTINCT substring(w, 1, 2) || 'x' || substring(w, 3) AS pattern FROM (SELECT unnest(regexp_extract_all(p_name, '[a-z]{4,}')) AS w FROM part)))"
 
 
-def sql_windows(texts: str, q: int, tail: int, name: str = "win") -> str:
-    """CTEs for (doc_id, pos, w, t) of every window of q characters with up to tail characters from its start."""
+def sql_windows(texts: str, q: int, longest: str = "", name: str = "win") -> str:
+    """CTEs for (doc_id, pos, w, t) of every window of q characters with the text from its start,
+    as long as the longest of a table's patterns (``longest`` names the table and its column)."""
+    tail = f"(SELECT greatest(coalesce(max(length({longest.split('.')[1]})), 0), {q}) FROM {longest.split('.')[0]})::INTEGER" if longest else str(q)
     return f"""{name}_c AS (
-    SELECT doc_id, c * 512 AS base, substring(text, c * 512 + 1, 511 + {max(q, tail)}) AS part
+    SELECT doc_id, c * 512 AS base, substring(text, c * 512 + 1, 511 + {tail}) AS part
     FROM (SELECT doc_id, text, unnest(range(0, (greatest(length(text), 1) - 1) // 512 + 1)) AS c FROM {texts})
 ), {name} AS (
     SELECT doc_id, base + i - 1 AS pos, substring(part, i, {q}) AS w, substring(part, i, {tail}) AS t
@@ -195,7 +197,7 @@ def f14_alphabet(spark, d):
 
 # ---- exact search
 
-SQL_WORD_HITS = f"WITH {SQL_DOCS}, {SQL_WORDS}, {sql_windows('docs', 6, 64)}, hits AS (SELECT doc_id, pat_id, pos, pattern FROM win JOIN words ON w = left(pattern, 6) AND starts_with(t, pattern))"
+SQL_WORD_HITS = f"WITH {SQL_DOCS}, {SQL_WORDS}, {sql_windows('docs', 6, 'words.pattern')}, hits AS (SELECT doc_id, pat_id, pos, pattern FROM win JOIN words ON w = left(pattern, 6) AND starts_with(t, pattern))"
 
 
 @query(SQL_WORD_HITS + " SELECT pat_id, coalesce(n, 0) AS n FROM words LEFT JOIN (SELECT pat_id, count(*) AS n FROM hits GROUP BY pat_id) USING (pat_id)")
@@ -204,7 +206,7 @@ def e1_count(spark, d):
     return exact.count(documents(spark, d), word_patterns(spark, d))
 
 
-@query(f"WITH {SQL_DOCS}, {SQL_ITEMS}, {sql_windows('docs', 12, 512)} SELECT win.doc_id, items.doc_id AS pat_id, pos FROM win JOIN items ON w = left(items.text, 12) AND starts_with(t, items.text)")
+@query(f"WITH {SQL_DOCS}, {SQL_ITEMS}, {sql_windows('docs', 12, 'items.text')} SELECT win.doc_id, items.doc_id AS pat_id, pos FROM win JOIN items ON w = left(items.text, 12) AND starts_with(t, items.text)")
 def e2_locate(spark, d):
     """Whole benchmark items located in all documents."""
     return exact.locate(documents(spark, d), item_patterns(spark, d))
@@ -246,7 +248,7 @@ def e8_backward_step(spark, d):
 
 
 @query(
-    f"""WITH {SQL_DOCS}, {SQL_WORDS}, {sql_windows('docs', 6, 64)}, hits AS (
+    f"""WITH {SQL_DOCS}, {SQL_WORDS}, {sql_windows('docs', 6, 'words.pattern')}, hits AS (
     SELECT doc_id, pat_id, pos, length(pattern) AS m FROM win JOIN words ON w = left(pattern, 6) AND starts_with(t, pattern))
 SELECT doc_id, pat_id, pos - 1 AS pos, m + 1 AS m FROM hits JOIN docs USING (doc_id) WHERE pos > 0 AND substring(text, pos, 1) = ' '"""
 )
@@ -293,11 +295,11 @@ def e15_interval_and_occ(spark, d):
     return found.join(ends, ["doc_id", "e"]).select("doc_id", "pat_id", "b", "e", "occ")
 
 
-SQL_STRANDS = f"""WITH {SQL_BASES}, {sql_windows('basep_items', 12, 12, 'bw')}, bp AS (
+SQL_STRANDS = f"""WITH {SQL_BASES}, {sql_windows('basep_items', 12, '', 'bw')}, bp AS (
     SELECT row_number() OVER (ORDER BY w) AS pat_id, w AS pattern FROM (SELECT DISTINCT w FROM bw)
 ), turned AS (
     SELECT pat_id, pattern, '+' AS strand FROM bp UNION ALL SELECT pat_id, translate(reverse(pattern), 'ACGT', 'TGCA'), '-' FROM bp
-), {sql_windows('based', 12, 12)}, found AS (SELECT doc_id, pat_id, strand, pos FROM win JOIN turned ON w = pattern)"""
+), {sql_windows('based', 12)}, found AS (SELECT doc_id, pat_id, strand, pos FROM win JOIN turned ON w = pattern)"""
 
 
 def strands(spark, d):
@@ -309,19 +311,19 @@ def e20_both_strands(spark, d):
     return strands(spark, d)
 
 
-@query(f"WITH {SQL_DOCS}, {SQL_ITEMS}, {sql_windows('docs', 12, 512)}, hits AS (SELECT win.doc_id, items.doc_id AS pat_id, pos FROM win JOIN items ON w = left(items.text, 12) AND starts_with(t, items.text)) SELECT doc_id, pat_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY pat_id ORDER BY doc_id, pos) AS k FROM hits) WHERE k <= 2")
+@query(f"WITH {SQL_DOCS}, {SQL_ITEMS}, {sql_windows('docs', 12, 'items.text')}, hits AS (SELECT win.doc_id, items.doc_id AS pat_id, pos FROM win JOIN items ON w = left(items.text, 12) AND starts_with(t, items.text)) SELECT doc_id, pat_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY pat_id ORDER BY doc_id, pos) AS k FROM hits) WHERE k <= 2")
 def o3_first_two(spark, d):
     """The first two occurrences of each item: a limit on what is printed."""
     return exact.paged(exact.locate(documents(spark, d), item_patterns(spark, d)), 2)
 
 
-@query(f"WITH {SQL_DOCS}, {SQL_ITEMS}, {sql_windows('docs', 12, 512)} SELECT win.doc_id, items.doc_id AS pat_id, pos FROM win JOIN items ON w = left(items.text, 12) AND starts_with(t, items.text)")
+@query(f"WITH {SQL_DOCS}, {SQL_ITEMS}, {sql_windows('docs', 12, 'items.text')} SELECT win.doc_id, items.doc_id AS pat_id, pos FROM win JOIN items ON w = left(items.text, 12) AND starts_with(t, items.text)")
 def stream_locate(spark, d):
     """Items as a stream of patterns against the static documents, run to its end."""
     schema = tables.read(spark, d, "benchmark").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/benchmark.parque[t]").select(F.col("item_id").alias("pat_id"), F.col("text").alias("pattern"))
     out = scratch.folder(spark)
-    found = search_stream(documents(spark, d), stream, 12, 512)
+    found = search_stream(documents(spark, d), stream, (1, 12))
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out)
 
@@ -358,7 +360,7 @@ def a2_hamming_histogram(spark, d):
     SELECT doc_id AS pat_id, length(text) AS m, substring(text, 1, (length(text) + 1) // 2 - 1) || '_' || substring(text, (length(text) + 1) // 2 + 1) AS pattern FROM items
 ), seeds AS (
     SELECT pat_id, off, substring(pattern, off + 1, 16) AS w FROM (SELECT *, unnest([0, m // 3, 2 * m // 3]) AS off FROM p)
-), {sql_windows('docs', 16, 16)}, cand AS (
+), {sql_windows('docs', 16)}, cand AS (
     SELECT DISTINCT doc_id, pat_id, pos - off AS pos FROM win JOIN seeds USING (w) WHERE pos >= off
 ), v AS (
     SELECT doc_id, pat_id, pos, m, string_split(pattern, '') AS p, string_split(substring(text, pos + 1, m), '') AS x FROM cand JOIN p USING (pat_id) JOIN docs USING (doc_id)
@@ -421,7 +423,7 @@ def a12_effective_intervals(spark, d):
 def aligned(spark, d):
     """Both strands of the items' bases, a symbol changed, aligned to the documents' bases."""
     turned = F.expr("overlay(text placing 'A' from int(char_length(text) / 2) for 1)")
-    reads = bases(items(spark, d)).where(F.char_length("text") > 6).select(F.col("doc_id").alias("pat_id"), turned.alias("pattern"))
+    reads = bases(items(spark, d)).select(F.col("doc_id").alias("pat_id"), turned.alias("pattern"))
     return reads, approximate.align_reads(bases(documents(spark, d)), reads, 2)
 
 
@@ -522,13 +524,13 @@ def g3_checksum(spark, d):
 SQL_SYMBOLS = f"WITH {SQL_DOCS}, s AS (SELECT unnest(string_split(text, '')) AS symbol FROM docs WHERE text <> ''), c AS (SELECT symbol, count(*) AS n FROM s GROUP BY symbol)"
 
 
-@query(f"WITH {SQL_DOCS}, {sql_windows('docs', 1, 1)}, c AS (SELECT w AS symbol, count(*) AS n FROM win GROUP BY w) SELECT symbol, n, coalesce(sum(n) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c")
+@query(f"WITH {SQL_DOCS}, {sql_windows('docs', 1)}, c AS (SELECT w AS symbol, count(*) AS n FROM win GROUP BY w) SELECT symbol, n, coalesce(sum(n) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c")
 def g6_symbols_cumulative(spark, d):
     """Symbols of all documents: frequency, and how many are smaller."""
     return suffix.symbol_counts(symbols(documents(spark, d)))
 
 
-@query(f"WITH {SQL_DOCS}, {sql_windows('docs', 1, 1)} SELECT w AS symbol, count(*) AS n FROM win GROUP BY w")
+@query(f"WITH {SQL_DOCS}, {sql_windows('docs', 1)} SELECT w AS symbol, count(*) AS n FROM win GROUP BY w")
 def g5_symbol_freq(spark, d):
     return symbols(documents(spark, d)).groupBy("symbol").agg(F.count("*").alias("n"))
 
@@ -732,7 +734,7 @@ def k2_histogram(spark, d):
     return records.histogram(approximate.histogram_hamming(items(spark, d), changed_words(spark, d), 2), 2)
 
 
-@query(f"WITH {SQL_ITEMS}, {SQL_WORDS}, {sql_windows('items', 6, 64)}, hits AS (SELECT doc_id, pat_id, pos FROM win JOIN words ON w = left(pattern, 6) AND starts_with(t, pattern)) SELECT pat_id, coalesce(string_agg(pos || ' ', '' ORDER BY pos), '') AS line FROM words LEFT JOIN hits USING (pat_id) GROUP BY pat_id")
+@query(f"WITH {SQL_ITEMS}, {SQL_WORDS}, {sql_windows('items', 6, 'words.pattern')}, hits AS (SELECT doc_id, pat_id, pos FROM win JOIN words ON w = left(pattern, 6) AND starts_with(t, pattern)) SELECT pat_id, coalesce(string_agg(pos || ' ', '' ORDER BY pos), '') AS line FROM words LEFT JOIN hits USING (pat_id) GROUP BY pat_id")
 def k3_positions(spark, d):
     words = word_patterns(spark, d)
     return records.positions(exact.locate(items(spark, d), words), words)

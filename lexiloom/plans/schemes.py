@@ -2,16 +2,18 @@
 
 A search visits the parts in an order and bounds the errors seen so far after each.  A
 scheme is complete if every way to spread at most k errors passes one of its searches;
-``uncovered`` tells.  Schemes are built and checked here only: the joins of
-``operators.approximate`` take none and seed with k + 1 equal parts, or ``parts`` of them.
+``uncovered`` tells.  The joins of ``operators.approximate`` take their seeds from a scheme:
+what a search visits before it allows an error is one stretch of the pattern, found exactly.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class Step:
@@ -28,7 +30,27 @@ class Scheme:
 
     def uncovered(self) -> list[tuple[int, ...]]:
         """Spreads of at most k errors that no search admits."""
-        return [v for v in itertools.product(range(self.k + 1), repeat=self.parts) if sum(v) <= self.k and not any(_admits(s, v) for s in self.searches)]
+        out: list[tuple[int, ...]] = []
+        for spreads in _spreads(self.parts, self.k):
+            open_ = np.ones(len(spreads), bool)
+            for steps in self.searches:
+                sums = np.cumsum(spreads[:, [s.part for s in steps]], axis=1)
+                open_ &= ~((sums >= [s.low for s in steps]) & (sums <= [s.high for s in steps])).all(axis=1)
+            out += map(tuple, spreads[open_].tolist())
+        return out
+
+    def seeds(self) -> list[tuple[int, int]]:
+        """(first part, last part + 1) of stretches of which one is free of errors: what each search
+        finds before it allows an error, or k + 1 of the parts if some search allows one at once."""
+        found = set()
+        for steps in self.searches:
+            exact = [s.part for s in steps[: next((n for n, s in enumerate(steps) if s.high), len(steps))]]
+            if not exact or max(exact) - min(exact) >= len(exact):
+                if self.parts <= self.k:
+                    raise ValueError(f"{self.parts} parts may all hold one of {self.k} errors")
+                return [(p, p + 1) for p in range(self.k + 1)]
+            found.add((min(exact), max(exact) + 1))
+        return sorted(found)
 
     def text(self) -> str:
         """The file form: a header, then {order} {lower bounds} {upper bounds} a line."""
@@ -36,13 +58,18 @@ class Scheme:
         return "\n".join([f"p={self.parts} k={self.k}", *lines]) + "\n"
 
 
-def _admits(steps: tuple[Step, ...], errors: tuple[int, ...]) -> bool:
-    total = 0
-    for s in steps:
-        total += errors[s.part]
-        if not s.low <= total <= s.high:
-            return False
-    return True
+def _spreads(parts: int, k: int, at_once: int = 8) -> Iterator[np.ndarray]:
+    """All ways to spread at most k errors over the parts, a row each; blocks by the first parts' errors."""
+
+    def grown(rows: np.ndarray, n: int) -> np.ndarray:
+        for _ in range(n):
+            room = k - rows.sum(axis=1)
+            rows = np.hstack([np.repeat(rows, room + 1, axis=0), np.concatenate([np.arange(r + 1) for r in room])[:, None]])
+        return rows
+
+    heads = grown(np.zeros((1, 0), np.int64), max(0, parts - at_once))
+    for head in heads:
+        yield grown(head[None, :], min(parts, at_once))
 
 
 def outward(start: int, parts: int) -> list[int]:
@@ -74,32 +101,22 @@ def zero_one(k: int) -> Scheme:
     return _scheme(k, k + 2, range(k + 1), high)
 
 
-def tightened(k: int) -> Scheme:
-    """k + 1 parts with small upper and large lower bounds, lowered while the scheme stays complete.
+def first_exact(k: int) -> Scheme:
+    """k + 1 parts; search i is for spreads whose first part without error is i.
 
-    Derived from ``pigeonhole``: search by search and step by step, the first bound that can
-    be tightened is.  Complete by construction; feasible for the k that seeds are made for.
+    The i parts to its left have an error each, so the parts to its right share k - i at most,
+    and every part visited on the left raises the lower bound by one: no spread passes two
+    searches, for any k.
     """
-    searches = [list(s) for s in pigeonhole(k).searches]
-
-    def complete() -> bool:
-        return not Scheme(k, k + 1, tuple(map(tuple, searches))).uncovered()
-
-    for s, n in itertools.product(range(k + 1), range(1, k + 1)):
-        for field, step in (("high", -1), ("low", 1)):
-            while True:
-                old = searches[s][n]
-                new = Step(old.part, old.low + step, old.high) if field == "low" else Step(old.part, old.low, old.high + step)
-                if new.low > new.high:
-                    break
-                searches[s][n] = new
-                if not complete():
-                    searches[s][n] = old
-                    break
-    return Scheme(k, k + 1, tuple(map(tuple, searches)))
-
-
-FAMILIES = {"pigeonhole": pigeonhole, "suffix_filter": suffix_filter, "zero_one": zero_one, "min_u": tightened}
+    searches = []
+    for i in range(k + 1):
+        right = [Step(p, 0, k - i if n else 0) for n, p in enumerate(range(i, k + 1))]
+        left = [Step(i - n, n, k - i + n) for n in range(1, i + 1)]
+        searches.append((*right, *left))
+    return Scheme(k, k + 1, tuple(searches))
+
+
+FAMILIES = {"pigeonhole": pigeonhole, "suffix_filter": suffix_filter, "zero_one": zero_one, "first_exact": first_exact}
 
 
 def parse(text: str) -> Scheme:

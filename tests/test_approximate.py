@@ -72,9 +72,33 @@ def test_goldens(spark):
     assert [r[2:] for r in rows(approximate.locate_edit(t, patterns(spark, "best"), 1))] == [(10, 4, 1), (11, 3, 1)]
 
 
-def test_short_patterns_are_refused(spark):
-    with pytest.raises(ValueError, match="more than 3 characters"):
-        approximate.locate_hamming(texts(spark, "abc"), patterns(spark, "abc"), 2)
+@pytest.mark.parametrize("metric", ["hamming", "edit"])
+def test_patterns_of_any_length_beside_one_another(spark, metric):
+    t, p = ["abcabdabcxyabe", "zz", ""], ["abc", "abcabd", "a", "zq", "ab"]
+    naive = naive_hamming if metric == "hamming" else naive_edit
+    want = sorted((d, i, *hit) for d, s in enumerate(t) for i, q in enumerate(p) for hit in naive(s, q, 2) if hit[1])
+    assert rows(approximate.locate(texts(spark, *t), patterns(spark, *p), 2, metric)) == want
+
+
+@pytest.mark.parametrize("family", schemes.FAMILIES)
+def test_answers_do_not_depend_on_the_scheme(spark, family):
+    t, p = inputs(7)
+    want = sorted((d, i, *hit) for d, s in enumerate(t) for i, q in enumerate(p) for hit in naive_hamming(s, q, 2))
+    assert rows(approximate.locate_hamming(texts(spark, *t), patterns(spark, *p), 2, schemes.FAMILIES[family](2))) == want
+
+
+def test_seeds_are_what_a_search_finds_before_it_allows_an_error():
+    assert schemes.pigeonhole(2).seeds() == [(0, 1), (1, 2), (2, 3)]
+    assert schemes.parse("p=4 k=2\n{0,1,2,3} {0,0,0,0} {0,1,1,2}\n{3,2,1,0} {0,0,0,0} {0,1,2,2}\n{1,2,3,0} {0,0,0,1} {0,0,1,2}\n{0,1,2,3} {0,0,0,2} {0,0,2,2}\n").seeds() == [
+        (0, 1), (0, 2), (1, 3), (3, 4),
+    ]
+
+
+def test_completeness_is_told_for_many_errors():
+    assert schemes.first_exact(10).uncovered() == []
+    assert schemes.zero_one(9).uncovered() == []
+    cut = schemes.pigeonhole(9)
+    assert schemes.Scheme(9, 10, cut.searches[1:]).uncovered()
 
 
 def test_counts_and_the_shortcut_for_short_patterns(spark):

@@ -124,7 +124,7 @@ def test_streams_find_patterns_of_any_length(spark, tmp_path):
     texts = spark.createDataFrame([(1, "xyz " + long), (2, "no hit")], "doc_id long, text string")
     spark.createDataFrame([(1, long), (2, "xyz"), (3, long[:40]), (4, "q!")], "pat_id long, pattern string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("pat_id long, pattern string").parquet(str(tmp_path / "in"))
-    found = search_stream(texts, stream, 12, 512)
+    found = search_stream(texts, stream, (1, 12))
     out = str(tmp_path / "out")
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-at").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(out).select("doc_id", "pat_id", "pos").collect()} == {(1, 1, 4), (1, 2, 0), (1, 3, 4)}

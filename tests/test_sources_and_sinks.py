@@ -83,10 +83,10 @@ def test_stream_of_patterns(spark, tmp_path):
     t = texts(spark, "banana bandana", "cabana")
     patterns(spark, "ana", "ban").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("pat_id long, pattern string").parquet(str(tmp_path / "in"))
-    found = search_stream(t, stream, 3, 8)
+    found = search_stream(t, stream)
     found.writeStream.format("memory").queryName("found").trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("found")) == rows(exact.locate(t, patterns(spark, "ana", "ban")))
-    counts_stream(t, stream, 3, 8).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    counts_stream(t, stream).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("counted")) == [(0, 4), (1, 3)] or rows(spark.table("counted")) == rows(exact.count(t, patterns(spark, "ana", "ban")))
 
 
