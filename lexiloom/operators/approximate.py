@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.alignment import edit_alignment, edit_window, hamming_alignment
 from lexiloom.functions.strings import hamming, reverse_complement
 from lexiloom.operators.exact import locate as locate_exact
-from lexiloom.operators.windows import length_of, looked_up, part_bounds, seed_length, windows
+from lexiloom.operators.windows import length_of, looked_up, part_bounds, seed_classes, windows
 from lexiloom.plans.schemes import Scheme, pigeonhole
 
 
@@ -24,8 +24,7 @@ def candidates(texts: DataFrame, patterns: DataFrame, k: int, slack: int, scheme
     """(doc_id, pat_id, pos): distinct starts where a pattern may lie, up to ``slack`` shifted.
 
     ``scheme`` says in how many parts a pattern is cut and which stretches of them are found
-    without error (pigeonhole by default: each part).  The longest piece of 1, 2, 4, 8 or 16
-    characters at a stretch's start is looked for.
+    without error (pigeonhole by default: each part).  Each stretch is sought by its start.
     """
     scheme = scheme or pigeonhole(k)
     if scheme.k != k:
@@ -35,8 +34,8 @@ def candidates(texts: DataFrame, patterns: DataFrame, k: int, slack: int, scheme
     stretches = F.array(*(F.struct(bounds[a].alias("off"), (bounds[b] - bounds[a]).alias("n")) for a, b in scheme.seeds()))
     seeds = patterns.where(m >= scheme.parts).select("pat_id", "pattern", F.explode(stretches).alias("s")).select("pat_id", "s.off", "s.n", "pattern")
     out = None
-    for q in sorted(r.q for r in seeds.select(seed_length(F.col("n")).alias("q")).distinct().collect()):
-        some = seeds.where(seed_length(F.col("n")) == q).select("pat_id", "off", F.substring("pattern", F.col("off") + 1, F.lit(q)).alias("window"))
+    for low, high, q in seed_classes(seeds, F.col("n")):
+        some = seeds.where(F.col("n").between(low, high)).select("pat_id", "off", F.substring("pattern", F.col("off") + 1, F.lit(q)).alias("window"))
         hits = windows(texts, q).join(some, "window").select("doc_id", "pat_id", (F.col("pos") - F.col("off")).alias("pos"))
         out = hits if out is None else out.union(hits)
     if out is None:

@@ -1,10 +1,10 @@
 """Exact search: texts and patterns meet in equi-joins on the patterns' first characters.
 
-Patterns are grouped by the length of their seed, the longest of 1, 2, 4, 8 and 16
-characters that they have: one join for each class in use, so that a short pattern costs a
-join of its own and no other pattern anything.  What follows the seed is compared in the
-chunk that holds it: a small set of patterns (``FEW``, counted) carries the chunk through
-the join; for larger sets and long patterns only hits of the seeds meet the chunks again.
+Patterns are grouped by the length of their seed (``windows.seed_classes``), one join for each
+class in use: a short pattern costs a join of its own and no other pattern anything.  What
+follows the seed is compared with up to ``TAIL`` characters that are taken with the window;
+hits of longer patterns meet the chunk that holds them.  The join is left to the optimizer: a
+small pattern table is broadcast, a large one is shuffled with skewed seeds split at run time.
 Occurrences overlap, positions count from 0, and a pattern with a symbol that no text has
 finds nothing.
 """
@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.strings import common_prefix, reverse_complement
-from lexiloom.operators.windows import CHUNK, array_windows, length_of, looked_up, seed_classes, seed_length, windows, windows_in_chunks
+from lexiloom.operators.windows import array_windows, length_of, looked_up, seed_classes, windows, windows_with_tail
 
-#: Patterns of a class that are joined without a shuffle of the texts: a few megabytes of seeds.
-FEW = 50_000
+TAIL = 64
 #: Suffixes below this length are looked up among all short strings of the texts.
 SHORT = 6
 
@@ -28,15 +27,15 @@ def matches(texts: DataFrame, patterns: DataFrame, behind: int = 0) -> DataFrame
     pattern, of m characters, and up to ``behind`` characters that follow it."""
     m = F.char_length("pattern")
     found = None
-    for q, long, n, longest in seed_classes(patterns, m, CHUNK - behind):
-        some = patterns.where((seed_length(m) == q) & ((m > CHUNK - behind) == long))
+    for low, high, q in seed_classes(patterns, m):
+        some = patterns.where(m.between(low, high))
         seeds = some.select("pat_id", "pattern", m.alias("m"), F.substring("pattern", 1, q).alias("window"))
-        if n <= FEW and not long:
-            hits = windows_in_chunks(texts, q, longest + behind).join(F.broadcast(seeds), "window")
-            hits = hits.withColumn("w", F.substring("part", F.col("at"), F.col("m") + behind))
+        if high + behind <= TAIL:
+            hits = windows_with_tail(texts, q, high + behind).join(seeds, "window")
+            hits = hits.withColumn("w", F.expr(f"left(tail, m + {behind})"))
         else:
             hits = windows(texts, q).join(seeds, "window").select("doc_id", "pat_id", "pos", "pattern", "m")
-            hits = looked_up(texts, hits, F.col("m") + behind, longest + behind)
+            hits = looked_up(texts, hits, F.col("m") + behind, high + behind)
         hits = hits.where(F.col("w").startswith(F.col("pattern"))).select("doc_id", "pat_id", "pos", "m", "w")
         found = hits if found is None else found.union(hits)
     if found is None:
@@ -105,7 +104,7 @@ def longest_suffix(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     back = texts.select("doc_id", F.reverse("text").alias("text"))
     turned = patterns.select("pat_id", F.reverse("pattern").alias("pattern"))
     longest = max(length_of(patterns)[1], SHORT)
-    heads = windows_in_chunks(back, 1, SHORT - 1).select(F.expr(f"substring(part, at, {SHORT - 1})").alias("tail")).distinct()
+    heads = windows_with_tail(back, 1, SHORT - 1).select("tail").distinct()
     heads = heads.select(F.explode(F.expr("transform(sequence(1, char_length(tail)), i -> left(tail, i))")).alias("head")).distinct()
     asked = turned.select("pat_id", F.explode(F.expr(f"transform(sequence(1, {SHORT - 1}), i -> left(pattern, i))")).alias("head"))
     short = asked.join(heads, "head").select("pat_id", F.char_length("head").alias("length"))

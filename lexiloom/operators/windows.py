@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 CHUNK = 256
 #: Lengths of the pieces in which stretches are looked up.
 SIZES = [CHUNK << (2 * i) for i in range(12)]
-#: Seeds have one of these lengths, so that a short pattern does not shorten those of others.
+#: Seeds of patterns are made in classes that begin at these lengths, so that a short pattern
+#: does not shorten the seeds of others; no seed is longer than the last.
 SEEDS = (1, 2, 4, 8, 16)
+#: As many patterns of ROUGH characters or more are one class: seeds of that length are rare
+#: enough in a text for them, and another class would cost another pass.
+FEW, ROUGH = 20_000, 4
 
 
 def spread(texts: DataFrame) -> DataFrame:
@@ -44,24 +48,25 @@ def chunks(texts: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     return rows.select("doc_id", F.col("c").cast("long").alias("c"), "part")
 
 
-def _exploded(pieces: DataFrame, q: int, size: int, *keep: str) -> DataFrame:
-    """(doc_id, pos, at, window, *keep): each window of the pieces; it begins at ``at`` (from 1) in its own."""
+def _exploded(pieces: DataFrame, q: int, size: int, made) -> DataFrame:
+    """(doc_id, pos, w): ``made`` of the place (from 1) of each window of the pieces."""
     last = F.least(F.lit(size), F.char_length("part") - q + 1)
     starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    rows = pieces.select("doc_id", "c", *keep, F.posexplode(F.transform(starts, lambda i: F.substring("part", i, F.lit(q)))).alias("i", "window"))
-    return rows.select("doc_id", (F.col("c") * size + F.col("i")).alias("pos"), (F.col("i") + 1).alias("at"), "window", *keep)
+    rows = pieces.select("doc_id", "c", F.posexplode(F.transform(starts, made)).alias("i", "w"))
+    return rows.select("doc_id", (F.col("c") * size + F.col("i")).alias("pos"), "w")
 
 
 def windows(texts: DataFrame, q: int) -> DataFrame:
     """(doc_id, pos, window): every window of ``q`` characters; pos counts from 0."""
     size = size_for(q)
-    return _exploded(chunks(texts, q - 1, size), q, size).select("doc_id", "pos", "window")
+    return _exploded(chunks(texts, q - 1, size), q, size, lambda i: F.substring("part", i, F.lit(q))).withColumnRenamed("w", "window")
 
 
-def windows_in_chunks(texts: DataFrame, q: int, longest: int) -> DataFrame:
-    """(doc_id, pos, at, window, part): windows with a chunk that holds ``longest`` characters from each start."""
+def windows_with_tail(texts: DataFrame, q: int, longest: int) -> DataFrame:
+    """(doc_id, pos, window, tail): the window, and up to ``longest`` characters from its start."""
     size = size_for(longest)
-    return _exploded(chunks(texts, longest - 1, size), q, size, "part")
+    made = lambda i: F.struct(F.substring("part", i, F.lit(q)).alias("window"), F.substring("part", i, F.lit(longest)).alias("tail"))
+    return _exploded(chunks(texts, longest - 1, size), q, size, made).select("doc_id", "pos", "w.window", "w.tail")
 
 
 def size_for(longest: int) -> int:
@@ -100,17 +105,21 @@ def length_of(patterns: DataFrame, pattern: str = "pattern") -> tuple[int, int]:
     return low or 0, high or 0
 
 
-def seed_length(m: Column) -> Column:
-    """The longest seed that a stretch of ``m`` characters has; null for none."""
-    return F.greatest(*(F.when(m >= s, F.lit(s)) for s in SEEDS))
+def seed_classes(rows: DataFrame, length: Column) -> list[tuple[int, int, int]]:
+    """(shortest, longest, seed length) of the classes in which ``rows`` with pieces of a length are sought.
 
-
-def seed_classes(patterns: DataFrame, seed: Column, room: int = CHUNK) -> list[tuple[int, bool, int, int]]:
-    """(seed length, whether patterns are longer than ``room``, patterns, longest) of the classes
-    in use: two rows for each of SEEDS at most."""
-    m = F.char_length("pattern")
-    found = patterns.groupBy(seed_length(seed).alias("q"), (m > room).alias("long")).agg(F.count("*").alias("n"), F.max(m).alias("m"))
-    return sorted((r.q, r.long, r.n, r.m) for r in found.where("q IS NOT NULL").collect())
+    One row for each of SEEDS at most comes to the driver.
+    """
+    at = F.greatest(*(F.when(length >= s, F.lit(s)) for s in SEEDS))
+    found = rows.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(length).alias("low"), F.max(length).alias("high")).where("at IS NOT NULL").collect()
+    found.sort(key=lambda r: r.at)
+    rough = [r for r in found if r.at >= ROUGH]
+    classes = [(r.low, r.high) for r in found if r.at < ROUGH]
+    if rough and sum(r.n for r in rough) <= FEW:
+        classes.append((rough[0].low, rough[-1].high))
+    else:
+        classes += [(r.low, r.high) for r in rough]
+    return [(low, high, min(low, SEEDS[-1])) for low, high in classes]
 
 
 def part_bounds(m: Column, parts: int) -> list[Column]:
