@@ -12,8 +12,9 @@ space parts words, and UTF-8 bytes are written as the byte-level letters.
 The file is read on the driver; vocabulary and merges, whose size the file fixes, are
 broadcast.  Chunks between white space and their words are encoded once and kept, up to a bound.
 
-Letters and numbers are those of the interpreter's Unicode tables (15.1 in Python 3.13);
-with a library of Unicode 16 every other code point was found to be treated alike.
+Letters, numbers and cases are those of the interpreter's Unicode tables (15.1 in Python
+3.13) with what the library's newer tables add; its table of canonical forms is older, and
+what that one lacks is left as it stands.  Both differences are fixed values below.
 
 Defined results: null text is empty and has no tokens; decoding joins the tokens' strings
 by blanks, as a tokenizer without decoder does.
@@ -41,6 +42,17 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the tokenizer's format: contractions, the end-of-word mark.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_END = "</w>"
+#: Letters and numbers of Unicode 16, in which the library splits words.
+NEWER_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B
+    1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
+NEWER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Capitals of Unicode 16 and 17, and the small letter of the first of each range.
+NEWER_CAPITALS = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+#: Marks, and one letter with its mark, that the library's canonical forms do not
+#: know: they are neither moved nor composed.
+UNKNOWN_MARKS = """7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF
+    10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42
+    11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
 CACHED = 300_000
 CACHED_CHARS = 64
 
@@ -52,27 +64,55 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
-def _ranges(kind: str) -> str:
-    """The body of a character class of all code points of a general category, L or N."""
+def spans(text: str) -> list[tuple[int, int]]:
+    """First and last code point of each range of ``A-B C ...``."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in text.split()]
+    return [(e[0], e[-1]) for e in ends]
+
+
+def _class(found: list[tuple[int, int]]) -> str:
+    """The body of a character class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
+def _ranges(kind: str) -> list[tuple[int, int]]:
+    """All code points of a general category, L or N, in the interpreter's tables."""
     out, last = [], -2
     for c in range(sys.maxunicode + 1):
         if unicodedata.category(chr(c))[0] == kind:
             if c != last + 1:
                 out.append([c, c])
             out[-1][1] = last = c
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+    return [(a, b) for a, b in out]
 
 
 def word_pattern() -> re.Pattern:
-    """Contractions, runs of letters, single numbers, runs of other signs.
-
-    Built from the interpreter's own Unicode tables: a newer table than the library's would
-    take code points for letters that it does not know.
-    """
-    letters, numbers = _ranges("L"), _ranges("N")
+    """Contractions, runs of letters, single numbers, runs of other signs."""
+    letters, numbers = _class(_ranges("L") + spans(NEWER_LETTERS)), _class(_ranges("N") + spans(NEWER_NUMBERS))
     return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
 
 
+_UNKNOWN = re.compile(f"([{_class(spans(UNKNOWN_MARKS))}]+)")
+_SMALL = {ord("Σ"): "σ"}
+for _pair in NEWER_CAPITALS.split():
+    _from, _to = _pair.split(":")
+    (_first, _last), = spans(_from)
+    _SMALL |= {c: chr(int(_to, 16) + c - _first) for c in range(_first, _last + 1)}
+
+
+def normal_form(text: str) -> str:
+    """NFC and lower case, a letter at a time, by the library's tables."""
+    if text.isascii():
+        return text.lower()
+    if _UNKNOWN.search(text):
+        parts = _UNKNOWN.split(text)
+        parts[::2] = [unicodedata.normalize("NFC", p) for p in parts[::2]]
+        text = "".join(parts)
+    else:
+        text = unicodedata.normalize("NFC", text)
+    return text.translate(_SMALL).lower()
+
+
 class WordBpe:
     """A tokenizer from (vocabulary, merges, special tokens)."""
 
@@ -91,7 +131,7 @@ class WordBpe:
         self.separators = re.compile(r"[\x1c-\x1f]")
         self.solid = re.compile(f"[^{SPACE}]+")
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.chunks = _Kept(self.encode_chunk)
+        self.chunks, self.words = _Kept(self.encode_chunk), _Kept(self.encode_form)
 
     @staticmethod
     def spec(path: str) -> dict:
@@ -137,10 +177,9 @@ class WordBpe:
         """The packed ids of a text without special tokens or white space.
 
         A chunk of several words, or in another form than the file wants, is put together
-        from those of its words, which are chunks as well.
+        from those of its words, whose form is not made again: lower case may undo it.
         """
-        form = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        form = form.lower()
+        form = normal_form(chunk)
         # the pattern's most frequent cases: letters alone, letters and one sign
         if form.isalpha():
             words = [form]
@@ -149,8 +188,12 @@ class WordBpe:
         else:
             words = self.split.findall(form)
         if words != [chunk]:
-            return b"".join(map(self.chunks.__getitem__, words))
-        letters = chunk if chunk.isascii() and chunk.isalpha() else "".join(map(self.letters.__getitem__, chunk.encode("utf-8", "surrogatepass")))
+            return b"".join(map(self.words.__getitem__, words))
+        return self.encode_form(chunk)
+
+    def encode_form(self, word: str) -> bytes:
+        """The packed ids of one word in its form."""
+        letters = word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
         return _packed(self.encode_word(letters))
 
     def encode_packed(self, text: str | None) -> bytes:
