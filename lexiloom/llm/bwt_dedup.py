@@ -337,9 +337,10 @@ def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, stop): spans, which may overlap, of repeated strings of ``docs`` (doc_id, text)."""
     places = stored(docs.mapInArrow(_places, ddl(PLACES)), "places")
-    often = places.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # aggregates that are joined back are tables of their own: broadcast if small, else joined with hot keys split
+    often = stored(places.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "often")
     places = stored(places.join(often, "key"), "shared")
-    contents = places.groupBy("key", "content").agg(F.count("*").alias("c"))
+    contents = stored(places.groupBy("key", "content").agg(F.count("*").alias("c")), "contents")
     stop = (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop")
     whole = places.join(contents.where("c > 1").select("key", "content"), ["key", "content"]).select("doc_id", "text_hash", "start", stop)
 
@@ -349,7 +350,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = stored(rows, "stretches")
     found = [whole]
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("d"))
+        sizes = stored(rows.groupBy("key").agg(F.count("*").alias("d")), "sizes")
         found.append(_spans(rows.join(sizes.where((F.col("d") > 1) & (F.col("d") <= MOST)).select("key"), "key")))
         hot = sizes.where(F.col("d") > MOST).select("key")
         if hot.isEmpty():

@@ -13,17 +13,18 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star hooking.  A vertex's least neighbour comes from
     an aggregation with a map-side part and is joined back, so no neighbourhood is ever
-    gathered in one task; the rounds, logarithmic in the vertices, are written to the
-    shared folder and end when the stars no longer change.
+    gathered in one task.  What is joined back is a table of its own: a small one is broadcast
+    by the optimizer, a large one is shuffled with its hot centres split.  The rounds,
+    logarithmic in the vertices, end when the stars no longer change.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.distinct(), "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         hooked = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = stored(hooked.where("a <> b").distinct(), "stars")

@@ -3,13 +3,17 @@
 Features of a text are the unigrams and bigrams of its words and of their shapes (case,
 length, signs), and the bigram of any word twice, hashed into ``2 ** BITS`` slots; slot values are square roots of counts,
 scaled to unit length.  Training makes ``PASSES`` passes over at most ``MOST_ROWS``
-labels, chosen by hash (the documented bound), in one task: follow-the-
+labelled texts, chosen by hash (the documented bound), in one task: follow-the-
 regularised-leader keeps per slot a gradient sum z and a squared sum n, and its L1 term
 leaves the weights sparse.  Scoring is a sparse dot product for every document, with the
 weights (at most 8 MB, fixed by BITS) broadcast.
 
 Defined results: null and blank texts score by the intercept alone; without a labelled
-row every score is 0.5; labels that are null are not learnt from.
+row every score is 0.5; labels that are null, or of a null id, are not learnt from; a null id
+is scored like any other; rows that repeat are scanned each by itself and score alike, and
+equal texts score equally; ties of the hash are ordered by id, label and text; a text of any
+length is read whole, its features in memory; only doc_id and text are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -99,12 +103,13 @@ def _sigmoid(x):
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights learnt from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) names.
 
-    At most MOST_ROWS labels are taken, by the hash of their ids, and broadcast; the order
-    of learning is by a hash of the texts, so reruns agree.
+    At most MOST_ROWS labels are taken, by the hash of their ids, and broadcast; of the texts
+    that they name, more than one where ids repeat, at most MOST_ROWS are learnt from.  The
+    order of learning is by a hash of the texts, so reruns agree.
     """
     drawn = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MOST_ROWS)
-    sample = docs.join(F.broadcast(drawn), "doc_id").select("text", "label").orderBy(F.xxhash64("text", "label"), "text").limit(2 * MOST_ROWS)
+    sample = docs.join(F.broadcast(drawn), "doc_id").select("text", "label").orderBy(F.xxhash64("text", "label"), "text").limit(MOST_ROWS)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows = _Words(), []

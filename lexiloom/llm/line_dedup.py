@@ -8,7 +8,7 @@ holds are shuffled, as 128-bit hashes, for the exact count of documents and the
 of the first; the rest of the lines never move.
 
 The filters have a power of two of bits, about 16 for every line expected and at most
-``MAX_BITS`` (32 MB each), the proven bound of what is broadcast.  Beyond some 50 million
+``MAX_BITS`` (32 MB each), the proven bound of what is broadcast.  Beyond some 16 million
 lines they fill up and more keys are shuffled; results stay exact.
 
 Defined results: null and empty texts are one empty line; a key counts once a document;
@@ -178,9 +178,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     With ``keep_first`` the first line of that key stays in the document of the smallest
     ``doc_id`` that has it.
     """
+    if min_docs < 2:
+        raise ValueError("a line is repeated in two documents at least: the filters know no fewer")
     docs = docs.drop("n_lines", "n_dropped", "_keys", "_first")
     found = stored(suspects(docs.select(F.col("doc_id").cast("long"), "text"), min_chars), "suspects")
+    # a table of its own, so that the join may broadcast it or split the commonest lines' rows
     often = found.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
+    often = stored(often, "often")
     hits = found.join(often, "key")
     first = F.when(F.lit(keep_first) & (F.col("doc_id") == F.col("first")), F.col("key"))
     of = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_keys"), F.collect_set(first).alias("_first"))

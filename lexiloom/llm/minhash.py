@@ -15,12 +15,23 @@ one bit, so that the XOR of two sketches counts the samples that differ.
    band and may be linked are in one.  The texts of clustered documents alone are moved
    (a Bloom filter of their ids, of bounded size, keeps the rest where it is), each once,
    to its cluster, whose members are confirmed on their full sets, all against all by
-   matrix products within a task.  Clusters over BLOCK members are dealt in pairs of
-   blocks.  A task returns a spanning forest of its confirmed links, no pair list.
+   matrix products within a task.  A task returns a spanning forest of its confirmed links,
+   no pair list.
+4. Clusters of more than BLOCK members or BLOCK_BYTES of text are confirmed head first: each
+   member meets the cluster's first member, then the one that is most similar to that, which
+   tells its distance to both.  Members linked with neither are *left*; only they, in blocks,
+   meet all members.  A pair whose distances to one of the heads are further apart than a link
+   allows (1 - similarity is a metric) is not compared.  A task holds a block of left sets,
+   bounded by members and bytes, and one more text.  A cluster of n members around a common
+   text moves each text three times; one of n members that no head reaches moves n texts for
+   each block of them.
 
 Nothing is lost beyond what banding misses: a pair at the threshold escapes all bands
 with probability 8e-6.
 
+Texts may be of any length; a set takes eight bytes a word while it is compared.  Only doc_id
+and text are read, so other columns may have any name.
+
 Defined results: texts without a word have an empty set, size 0, and are linked with
 nothing; texts of fewer than five words are one shingle, their whole sequence; rows that
 share a ``doc_id`` are one vertex; a null ``doc_id`` is linked with nothing.
@@ -37,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.bloom import id_filter
-from lexiloom.llm.common import stored
+from lexiloom.llm.common import slices, stored
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.groups import Forest, grouped
 
@@ -47,8 +58,10 @@ SKETCH_BITS = 512
 #: Estimated similarity (per cent) below the threshold at which a pair is still confirmed:
 #: five standard deviations of 100 samples at a similarity of 0.85.
 SLACK = 18
-#: Members of a bucket or cluster that are compared in one task, twice.
-BLOCK = 256
+#: Members of a bucket or cluster, and bytes of their texts, that are compared in one task.
+BLOCK, BLOCK_BYTES = 256, 32 << 20
+#: Members that meet a head, or a block of left ones, in one task.
+SLICE = 4096
 #: Columns of the products of sets.
 COLUMNS = 4096
 #: Shingles hashed at a time, so that the arrays stay in the processor's cache.
@@ -230,11 +243,11 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _by_set(percent: int):
-    """A spanning forest of the confirmed links of each (cluster, pair of blocks)."""
+    """A spanning forest of the confirmed links of each cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for rows in grouped(batches, ["cluster", "i", "j"]):
+        for rows in grouped(batches, ["cluster"]):
             v = rows.column("v").to_numpy()
             links = linked([shingles(t.as_py(), hashes) for t in rows.column("text")], percent)
             if links:
@@ -243,6 +256,140 @@ def _by_set(percent: int):
     return run
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) and len(b) else 0
+
+
+HEADED = "cluster long, v long, t long, head long, similar double, near boolean"
+
+
+def _with_head(percent: int):
+    """Each member's similarity to the head, which comes first of its (cluster, slice)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        cluster, head_id, head = None, 0, np.empty(0, np.uint64)
+        for batch in slices(batches):
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("cluster", "is_head", "v", "t"))
+            for k, (c, is_head, v, t) in enumerate(zip(*columns, strict=True)):
+                x = shingles(batch.column("text")[k].as_py(), hashes)
+                if is_head:
+                    cluster, head_id, head = c, v, x
+                elif c == cluster:
+                    both = _overlap(x, head)
+                    union = len(x) + len(head) - both
+                    out.append((c, v, t, head_id, both / union, 100 * both >= percent * union))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["cluster", "v", "t", "head", "similar", "near"])
+
+    return run
+
+
+def _left_ones(percent: int):
+    """A spanning forest of the links of each (cluster, block, slice): its left members, which come
+    first, and the members of the slice."""
+    apart = 1 - percent / 100 + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        key, left, near, far = None, [], [], []
+        holder = shingle = size = np.empty(0)
+        place: dict[int, int] = {}
+        forest, ids = Forest(0), []
+        ready = False
+        for batch in slices(batches):
+            links: list[tuple[int, int]] = []
+            names = ("cluster", "block", "slice", "is_left", "v", "first", "second")
+            for k, (c, b, s, is_left, v, d1, d2) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                if (c, b, s) != key:
+                    key, left, near, far, ids, place, ready = (c, b, s), [], [], [], [], {}, False
+                x = shingles(batch.column("text")[k].as_py(), hashes)
+                if is_left:
+                    place[v] = len(ids)
+                    ids.append(v)
+                    left.append(x)
+                    near.append(d1)
+                    far.append(d2)
+                    continue
+                if not ready:
+                    holder = np.repeat(np.arange(len(left)), [len(y) for y in left])
+                    shingle = np.concatenate(left) if left else np.empty(0, np.uint64)
+                    order = np.argsort(shingle, kind="stable")
+                    holder, shingle, size = holder[order], shingle[order], np.array([len(y) for y in left])
+                    first, second = np.array(near, float), np.array(far, float)
+                    forest, ready = Forest(len(left)), True
+                    n_left = len(left)
+                    left = []
+                if not n_left:
+                    continue
+                may = (np.abs(first - d1) <= apart) & (np.abs(second - d2) <= apart)
+                if place.get(v, n_left) < n_left:
+                    may[place[v]] = False
+                if not may.any():
+                    continue
+                a, z = np.searchsorted(shingle, x), np.searchsorted(shingle, x, side="right")
+                at = np.repeat(a - np.concatenate(([0], np.cumsum(z - a)[:-1])), z - a) + np.arange((z - a).sum())
+                both = np.bincount(holder[at], minlength=n_left)
+                hit = np.flatnonzero(may & (100 * both >= percent * (size + len(x) - both)))
+                if not len(hit):
+                    continue
+                if v in place:
+                    me = place[v]
+                else:
+                    me = place[v] = len(ids)
+                    ids.append(v)
+                    forest.up.append(me)
+                for y in hit.tolist():
+                    forest.join(me, y)
+                links += [(ids[p], ids[q]) for p, q in forest.links]
+                forest.links.clear()
+            if links:
+                yield _pairs(links)
+
+    return run
+
+
+def _head_first(rows: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """HEADED: members of clusters (cluster, v, t, text, n_slices) and their similarity to ``heads`` (cluster, v)."""
+    slice_ = F.pmod(F.xxhash64("v"), F.col("n_slices")).cast("int")
+    head = rows.join(heads.select(F.col("cluster").alias("_c"), F.col("v").alias("_v")), (F.col("cluster") == F.col("_c")) & (F.col("v") == F.col("_v")), "left_semi")
+    head = head.select("cluster", "v", "t", "text", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("slice"), F.lit(True).alias("is_head"))
+    both = head.union(rows.select("cluster", "v", "t", "text", slice_.alias("slice"), F.lit(False)))
+    both = both.repartition("cluster", "slice").sortWithinPartitions("cluster", "slice", F.desc("is_head"))
+    return both.mapInArrow(_with_head(percent), HEADED)
+
+
+def _large_clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that span the components within large clusters (cluster, v, text, n_slices)."""
+    # rows that share an id are one vertex; their texts are told apart by a hash
+    rows = stored(rows.withColumn("t", F.xxhash64("text")).dropDuplicates(["cluster", "v", "t"]), "members")
+    first = stored(_head_first(rows, rows.groupBy("cluster").agg(F.min("v").alias("v")), percent), "headed")
+    others = first.where("v <> head")
+    second = others.groupBy("cluster").agg(F.max_by("v", F.struct("near", "similar", -F.col("v"))).alias("v"))
+    second = stored(_head_first(rows, second, percent), "headed")
+    links = others.where("near").select(F.least("v", "head").alias("a"), F.greatest("v", "head").alias("b"))
+    links = links.union(second.where("near AND v <> head").select(F.least("v", "head"), F.greatest("v", "head")))
+
+    told = first.select("cluster", "v", "t", (1 - F.col("similar")).alias("first"), F.col("near").alias("_near"), F.col("head").alias("_head")).join(
+        second.select("cluster", "v", "t", (1 - F.col("similar")).alias("second"), F.col("near").alias("_also"), F.col("head").alias("_next")), ["cluster", "v", "t"]
+    )
+    told = stored(told.withColumn("is_left", ~(F.col("_near") | F.col("_also"))).drop("_near", "_also", "_head", "_next"), "told")
+    known = rows.join(told, ["cluster", "v", "t"])
+    sums = known.where("is_left").groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = stored(sums.select(F.col("cluster").alias("_c"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("n_blocks")), "blocks")
+    known = known.join(blocks, F.col("cluster") == F.col("_c")).drop("_c")
+    kept = ["cluster", "block", "slice", "is_left", "v", "first", "second", "text"]
+    held = known.where("is_left").withColumn("block", F.pmod(F.xxhash64("v", F.lit("left")), F.col("n_blocks")).cast("int"))
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)))
+    met = known.withColumn("slice", F.pmod(F.xxhash64("v"), F.col("n_slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    both = held.select(*kept).union(met.withColumn("is_left", F.lit(False)).select(*kept))
+    both = both.repartition("cluster", "block", "slice").sortWithinPartitions("cluster", "block", "slice", F.desc("is_left"))
+    return links.union(both.mapInArrow(_left_ones(percent), PAIR))
+
+
 def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """Rows of every group, dealt to the pairs of its blocks: columns i and j, sorted groups.
 
@@ -303,9 +450,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(passes(batch.column("doc_id").to_numpy())))
 
     texts = docs.mapInArrow(clustered, "doc_id long, text string").withColumnRenamed("doc_id", "v")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    rows = _in_blocks(texts.join(clusters, "v").select("v", "cluster", "text"), "cluster", sizes)
-    return stored(rows.mapInArrow(_by_set(percent), PAIR), "links")
+    texts = stored(texts.join(clusters, "v").select("v", "cluster", "text"), "clustered")
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    large = stored(sizes.where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("cluster", F.ceil(F.col("n") / SLICE).cast("int").alias("n_slices")), "large")
+    small = texts.join(large, "cluster", "left_anti").repartition("cluster").sortWithinPartitions("cluster")
+    links = small.mapInArrow(_by_set(percent), PAIR)
+    if not large.isEmpty():
+        links = links.union(_large_clusters(texts.join(large, "cluster"), percent))
+    return stored(links, "links")
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:

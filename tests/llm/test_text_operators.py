@@ -106,6 +106,11 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
     assert {r.n_dropped for r in got.collect()} == {1}
 
 
+def test_lines_of_one_document_are_refused(spark):
+    with pytest.raises(ValueError, match="two documents"):
+        line_dedup.line_dedup(data.frame(spark), min_docs=1)
+
+
 def test_no_lines(spark):
     assert line_dedup.line_dedup(data.empty(spark)).count() == 0
 
@@ -159,6 +164,35 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert collected(minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"))) == components(some, 85)
 
 
+def mixed_hot(n=150):
+    """Copies of a base that differ from one another more than from it, chains, and loners, of common bands."""
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(9000)}" for _ in range(150)]
+    out = [(0, " ".join(base[:140]))]
+    for i in range(1, n):
+        w = list(base)
+        for _ in range(draw.randrange(0, 12)):
+            at = draw.randrange(len(w) - 8)
+            w[at] = f"x{draw.randrange(9999)}"
+        out.append((i, " ".join(w[draw.randrange(0, 9) :])))
+    out += [out[5], (7, "one more text of the same id " * 30)]
+    return out
+
+
+@pytest.mark.parametrize("percent", [85, 70])
+def test_clusters_confirmed_head_first(spark, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SLICE", 20)
+    some = mixed_hot()
+    assert collected(minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), percent)) == components(some, percent)
+
+
+def test_clusters_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    some = mixed_hot(40)
+    assert collected(minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"))) == components(some, 85)
+
+
 def test_one_of_each_group_stays(spark):
     some = data.rows()
     left = minhash.deduplicated(data.frame(spark, some))
@@ -266,6 +300,18 @@ def test_tokens_equal_the_library(spark, library):
     assert bpe.encode(data.empty(spark), path).count() == 0
 
 
+def test_forms_and_classes_are_the_librarys(library):
+    """The fixed values beside their neighbours, and random strings of letters and marks."""
+    its, path = library
+    mine = bpe.WordBpe(bpe.WordBpe.spec(path))
+    points = [c for a, b in bpe.spans(f"{bpe.NEWER_LETTERS} {bpe.NEWER_NUMBERS} {bpe.UNKNOWN_MARKS} 300-36F A7C0-A7DF 130 3A3 11930-11940") for c in range(a - 1, b + 2)]
+    draw = random.Random(3)
+    some = [f(chr(c)) for c in points for f in (str, "x{}y".format, "e\u0316\u0315{0}\u0334\u0301 {0}\u0327".format)]
+    some += ["".join(draw.choice([chr(draw.choice(points)), "a", "A'", "\u0301", "\u0316", " ", "0", "Σ"]) for _ in range(draw.randrange(1, 20))) for _ in range(4000)]
+    for text, e in zip(some, its.encode_batch(some, add_special_tokens=False), strict=True):
+        assert mine.encode(text) == e.ids, [hex(ord(c)) for c in text]
+
+
 def test_caches_do_not_change_tokens(library, monkeypatch):
     its, path = library
     monkeypatch.setattr(bpe, "CACHED", 3)
@@ -312,7 +358,36 @@ def test_trigram_queries():
         q = secrets.trigram_query(r.pattern, r.flags)
         for t in SECRETS + ["".join(draw.choice("aKIApwd_-=:") for _ in range(60)) for _ in range(50)]:
             if r.spans(t):
-                assert secrets.Index([t], secrets.trigrams_of(q)).find(q) == {0}
+                held = {g: np.zeros(1, np.uint16) for g in secrets.codes_of(t.encode()).tolist()}
+                assert q is None or secrets._answer(q, held).tolist() == [0]
+
+
+def test_one_index_serves_other_rules(spark):
+    rows_ = [(i, None if i % 9 == 8 else f"text {i} " + ("needle" if i % 5 == 0 else "hay") * (1 + i % 40)) for i in range(60)] + [(3, "needle"), (None, "a needle")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    postings = secrets.index(docs)
+    sizes = [len(r.places) // 8 for r in postings.where("gram = -1").collect()]
+    assert sum(sizes) == len(rows_)
+    rules = (secrets.Rule("n", "need(le|les)"), secrets.Rule("h", "ha[xy]"), secrets.Rule("any", "[0-9]+"), secrets.Rule("none", "zzzz"))
+    left = secrets.candidates(postings, rules).collect()
+    assert len(left) == sum(any(g in (t or "") for g in ("needle", "hay")) for _, t in rows_)
+    found = secrets.find_secrets(docs, rules, postings=postings).collect()
+    want = sorted((i or -1, [(r.kind, *m.span()) for _, _, r, m in sorted((m.start(), k, r, m) for k, r in enumerate(rules) for m in r.regex.finditer(t or ""))]) for i, t in rows_)
+    assert sorted((r.doc_id or -1, [(s.kind, s.start, s.stop) for s in r.spans]) for r in found) == want
+
+
+@pytest.mark.parametrize("n", [1, 4000])
+def test_postings_are_kept_in_either_form(n):
+    for places in (np.array([0]), np.arange(0, n, 3), np.arange(n)):
+        assert secrets.unpacked(secrets.packed(places, n)).tolist() == places.tolist()
+
+
+def test_long_runs_are_searched_in_linear_time():
+    import time
+
+    began = time.time()
+    assert not any(s["kind"] == "jwt" for s in secrets.scanned(b"eyJ" * 700_000, secrets.BASE + secrets.MORE, list(range(10))))
+    assert time.time() - began < 20
 
 
 # ---- classifier
@@ -333,3 +408,42 @@ def test_classifier_learns_and_scores_everything(spark):
     none = ftrl.train(docs, labels.where("false"))
     assert {r.score for r in ftrl.score(docs, none).collect()} == {0.5}
     assert ftrl.score(data.empty(spark), w).count() == 0
+
+
+def plain_ftrl(rows, passes, alpha, beta, l1, l2):
+    """Weights by the textbook recurrence, a coordinate at a time, for (features, label) in order."""
+    z, n, end = {}, {}, 1 << ftrl.BITS
+
+    def w(i):
+        penalty = 0.0 if i == end else l1
+        if abs(z.get(i, 0.0)) <= penalty:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * penalty) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(passes):
+        for x, label in rows:
+            x = {**x, end: 1.0}
+            now = {i: w(i) for i in x}
+            p = 1 / (1 + 2.718281828459045 ** -sum(now[i] * v for i, v in x.items()))
+            for i, v in x.items():
+                g = (p - label) * v
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * now[i]
+                n[i] = old + g * g
+    return {i: w(i) for i in z}
+
+
+def test_classifier_equals_the_plain_recurrence(spark, monkeypatch):
+    draw = random.Random(4)
+    some = [(i, data.words(draw, draw.randrange(1, 30), 40), i % 2) for i in range(24)] + [(24, "", 1), (25, None, 0), (26, "same text", 1), (27, "same text", 1)]
+    docs, labels = spark.createDataFrame([r[:2] for r in some], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in some], "doc_id long, label int")
+    got = ftrl.train(docs, labels)
+    order = docs.join(labels, "doc_id").orderBy(F.xxhash64("text", "label"), "text").collect()
+    words = ftrl._Words()
+    rows_ = []
+    for r in order:
+        slots, values = ftrl.features(r.text, words)
+        rows_.append((dict(zip(slots.tolist(), values.astype(np.float32).astype(float).tolist(), strict=True)), r.label))
+    want = plain_ftrl(rows_, ftrl.PASSES, ftrl.ALPHA, ftrl.BETA, ftrl.L1, ftrl.L2)
+    assert {i for i, x in want.items() if x} == set(np.flatnonzero(got).tolist())
+    assert all(abs(got[i] - x) < 1e-6 for i, x in want.items())
