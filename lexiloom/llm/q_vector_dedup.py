@@ -28,6 +28,6 @@ WITH RECURSIVE e AS (
 ), n AS (
     SELECT a, count(*) AS n FROM links GROUP BY a
 )
-SELECT comp.v AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, comp.c AS component_id, comp.v = comp.c AS kept FROM comp LEFT JOIN n ON n.a = comp.v
+SELECT comp.v AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, comp.c AS component_id, comp.v = comp.c AS kept, 1.0::DOUBLE AS recall FROM comp LEFT JOIN n ON n.a = comp.v
 """
 }

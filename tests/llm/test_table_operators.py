@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,25 +156,55 @@ def vectors(seed, n, hot):
     return out + [(9000, None, 1), (9001, [], 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] + [1.0] * 15, 1), (9004, [None] + [1.0] * 15, 1), (9005, out[0][1], None), (9006, out[0][1][:8], 1), (None, out[0][1], 1)]
 
 
-@pytest.mark.parametrize(("cell", "shard", "hot"), [(1024, 2048, 40), (20, 30, 120), (400, 64, 300)])
-def test_links_equal_brute_force(spark, monkeypatch, cell, shard, hot):
-    monkeypatch.setattr(vector_dedup, "CELL", cell)
-    monkeypatch.setattr(vector_dedup, "SHARD", shard)
-    some = vectors(cell, 400, hot)
+@pytest.mark.parametrize(
+    ("region", "growth", "levels", "hot", "threshold"),
+    [(8192, 3, 10, 300, 0.98), (120, 99, 10, 300, 0.98), (120, 0, 10, 120, 0.98), (120, 0, 1, 120, 0.95)],
+)
+def test_links_equal_brute_force(spark, monkeypatch, region, growth, levels, hot, threshold):
+    """One region; proven splits; splits without proof; a region that is not split any more."""
+    for name, value in (("REGION", region), ("GROWTH", growth), ("LEVELS", levels)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    some = vectors(region + hot, 400, hot)
     df = spark.createDataFrame(some, "vec_id long, embedding array<float>, label int").withColumn("x", F.lit("clash"))
-    assert collected(vector_dedup.near_vectors(df)) == links_of(some)
+    found = vector_dedup.near_vectors(df, threshold)
+    assert collected(found.select("vec_id", "n_links", "component_id", "kept")) == links_of(some, threshold)
+    assert {r.recall for r in found.collect()} == {1.0}
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.9])
+def test_low_thresholds_in_few_dimensions(spark, monkeypatch, threshold):
+    monkeypatch.setattr(vector_dedup, "REGION", 200)
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(500, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= threshold).sum(axis=1) - 1
+    assert {r.vec_id: r.n_links for r in vector_dedup.near_vectors(df, threshold).collect()} == dict(enumerate(want.tolist()))
+
+
+def test_ids_may_repeat_across_labels(spark):
+    some = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.001], 0), (4, [1.0, 1.0], 0)]
+    rows = vector_dedup.near_vectors(spark.createDataFrame(some, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
 
 
 @pytest.mark.parametrize(("between", "u", "w"), [(90, 43, 54.3), (115, 52, 63.4)])
-def test_links_along_the_line_between_two_pivots(spark, monkeypatch, between, u, w):
+def test_links_along_the_line_between_two_pivots(between, u, w):
+    """Both ends are rows of both cells."""
+
     def at(degrees):
         return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))] + [0.0] * 62
 
-    monkeypatch.setattr(vector_dedup, "pivots_of", lambda vectors: {(1, 64): np.array([at(0), at(between)])})
-    df = spark.createDataFrame([(1, 1, 1, at(u)), (2, 1, 1, at(w)), (3, 1, 1, at(-40))], "v long, w long, label int, x array<double>")
-    found = vector_dedup.search(df, 0.98)
-    assert {(r.v, r.links) for r in found[0].where("links > 0").collect()} == {(1, 1), (2, 1)}
-    assert {tuple(sorted(r)) for r in found[1].collect()} == {(1, 2)}
+    rows = [(0, 0, None, 0, 0, None, True, None, False, True), *((0, v, v, 1, 0, at(d), True, None, False, True) for v, d in ((1, u), (2, w), (3, -40)))]
+    names = ["cell", "v", "lead", "w", "slice", "x", "own", "ball", "ring", "sure"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    pivots = pa.array([[at(0), at(between)], None, None, None], pa.list_(pa.list_(pa.float64())))
+    (out,) = vector_dedup._placed(0.98)(iter([pa.RecordBatch.from_arrays([*columns, pivots], [*names, "pivots"])]))
+    cells: dict = {}
+    for c, v in zip(out.column("cell").to_pylist(), out.column("v").to_pylist(), strict=True):
+        cells.setdefault(v, set()).add(c)
+    assert cells[1] == cells[2] and len(cells[1]) == 2
 
 
 def test_links_lost_beside_a_hot_ball_are_searched_again(spark, monkeypatch):
@@ -185,9 +216,9 @@ def test_links_lost_beside_a_hot_ball_are_searched_again(spark, monkeypatch):
         some += [(1000 + 2 * k + j, (x + 0.02 * draw.normal(size=32)).tolist(), 1) for j in range(2)]
     real = vector_dedup.search
 
-    def lossy(vectors, threshold, *full, **named):
-        counts, links, *rest = real(vectors, threshold, *full, **named)
-        return (counts, links, *rest) if full or named else (counts.where("links > 1"), links.where("a < 1000"), *rest)
+    def lossy(rows, balls, threshold, width):
+        counts, links = real(rows, balls, threshold, width)
+        return (counts, links) if width > vector_dedup.BEAM else (counts.where("links > 1"), links.where("a < 1000"))
 
     monkeypatch.setattr(vector_dedup, "search", lossy)
     df = spark.createDataFrame(some, "vec_id long, embedding array<double>, label int")
@@ -205,10 +236,17 @@ def test_every_vector_in_range_is_reached():
     x = draw.normal(size=(600, 32))
     x[:250] = draw.normal(size=32) + 0.05 * draw.normal(size=(250, 32))
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-    near = vector_dedup.pruned_graph(x)
-    assert (near >= 0).sum(1).min() > 0
-    got = vector_dedup.range_search(x, np.arange(600), x, near, np.array([0, 300, 599]), 0.98)
-    assert (got[:250] == (x[:250] @ x.T >= 0.98)).mean() > 0.999
+    shards = vector_dedup.shards_of(x)
+    lists = vector_dedup.united_graph(x, shards)
+    assert min(map(len, lists)) > 0
+    near = np.full((600, max(map(len, lists))), -1)
+    for i, each in enumerate(lists):
+        near[i, : len(each)] = each
+    medoids = vector_dedup.medoids_of(x, shards)
+    q, at = vector_dedup.range_search(x, medoids[shards], x, near, 0.98)
+    found = np.zeros((600, 600), bool)
+    found[q, at] = True
+    assert (found == (x @ x.T >= 0.98)).mean() > 0.999
 
 
 # ---- shared parts
