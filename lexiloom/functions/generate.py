@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.strings import has_any
 
+#: Starts drawn for each pattern asked for, at most.
+DRAWS = 2048
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -53,19 +55,25 @@ def mutated(draw: random.Random, pattern: str, edits: int, alphabet: str = "acgt
 def sample_patterns(texts: DataFrame, n: int, length: int, seed: int = 42, forbidden: str = "") -> DataFrame:
     """(pat_id, pattern): ``n`` substrings of a length at seeded random starts, none with a forbidden character.
 
-    Every text offers starts in proportion to its length; more are drawn than are needed and
-    those with forbidden characters let go.  The last start of a text is never drawn.
+    Every text offers starts in proportion to its length; more are drawn than are needed, those
+    with forbidden characters let go, and if too few are left more are drawn.  Raises ValueError
+    where DRAWS times as many starts do not give ``n``.  The last start of a text is never drawn.
     """
     room = F.char_length("text") - length
     total = texts.agg(F.sum(F.greatest(room, F.lit(0)))).first()[0] or 0
     if not total:
         return texts.sparkSession.createDataFrame([], "pat_id long, pattern string")
-    share = min(1.0, 4.0 * n / total)
-    starts = texts.where(room > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.ceil(room * share).cast("int"))).alias("k"), room.alias("room"))
-    at = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "k"), F.col("room")).cast("int")
-    drawn = starts.select("doc_id", "k", F.substring("text", at + 1, F.lit(length)).alias("pattern")).where(~has_any(F.col("pattern"), forbidden))
-    drawn = drawn.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "k"), "doc_id", "k").limit(n)
-    rows = [(i, r.pattern) for i, r in enumerate(drawn.select("pattern").collect())]  # n rows, a parameter
+    factor, rows = 4, []
+    while len(rows) < n:
+        if factor > DRAWS:
+            raise ValueError(f"{len(rows)} of {n} patterns without a forbidden character were found")
+        share = factor * n / total
+        starts = texts.where(room > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.ceil(room * share).cast("int"))).alias("k"), room.alias("room"))
+        at = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "k"), F.col("room")).cast("int")
+        drawn = starts.select("doc_id", "k", F.substring("text", at + 1, F.lit(length)).alias("pattern")).where(~has_any(F.col("pattern"), forbidden))
+        drawn = drawn.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "k"), "doc_id", "k").limit(n)
+        rows = [(i, r.pattern) for i, r in enumerate(drawn.select("pattern").collect())]  # n rows, a parameter
+        factor *= 8
     return texts.sparkSession.createDataFrame(rows, "pat_id long, pattern string")
 
 

@@ -42,6 +42,11 @@ def common_prefix(a: Column, b: Column) -> Column:
     return _until_false(pairs)
 
 
+def lex_less(a: Column, b: Column) -> Column:
+    """True where ``a`` sorts before ``b``, by code points; a prefix sorts before what it begins."""
+    return a < b
+
+
 def _until_false(flags: Column) -> Column:
     at = F.array_position(flags, F.lit(False))
     return F.when(at == 0, F.size(flags)).otherwise(at - 1).cast("int")

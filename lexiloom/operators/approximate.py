@@ -132,6 +132,12 @@ def not_covered(expected: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return mine.join(near, (mine["doc_id"] == near["doc_id"]) & (mine["pat_id"] == near["pat_id"]) & (mine["_b"] == near["_b"]) & covered, "left_anti").drop("_b")
 
 
+def in_context_order(intervals: DataFrame, *keys: str) -> DataFrame:
+    """Intervals (b, e, len) of a group with their ``place``: by start, outer before inner, shorter hits first."""
+    order = Window.partitionBy(*keys).orderBy("b", F.desc("e"), "len")
+    return intervals.withColumn("place", F.rank().over(order).cast("long"))
+
+
 def effective_intervals(intervals: DataFrame) -> DataFrame:
     """(i, len, err) for each position of nested intervals (b, e, len, err): least errors, then longest."""
     rows = intervals.select("len", "err", F.explode(F.sequence("b", "e")).alias("i"))

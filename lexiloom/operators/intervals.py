@@ -34,6 +34,20 @@ def as_of(queries: DataFrame, starts: DataFrame, at: str, start: str, payload: l
     return rows.select(*queries.columns, F.col("_found._start").alias(start), *(F.col(f"_found.{c}").alias(c) for c in payload))
 
 
+#: How a start must lie to a place: sign of both, and what is added to the place.
+RELATIONS = {"max<=": (1, 0), "max<": (1, -1), "min>=": (-1, 0), "min>": (-1, 1)}
+
+
+def nearest(queries: DataFrame, starts: DataFrame, at: str, start: str, relation: str, name: str) -> DataFrame:
+    """Each query row with, as ``name``, the largest start at most or below its ``at``, or the smallest
+    at least or above it; null if none.  Places are longs: a strict bound is the next place, and
+    the smallest above is the largest below with signs turned."""
+    sign, more = RELATIONS[relation]
+    asked = queries.withColumn("_turned", sign * (F.col(at) + more))
+    found = as_of(asked, starts.select((sign * F.col(start)).alias("_start_")).distinct(), "_turned", "_start_", [])
+    return found.select(*queries.columns, (sign * F.col("_start_")).alias(name))
+
+
 def collection(texts: DataFrame) -> DataFrame:
     """(seq_id, start, length): where each text would begin were all joined, a separator before each.
 

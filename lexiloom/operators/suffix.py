@@ -60,15 +60,18 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 
 
 def columns(sa: DataFrame) -> DataFrame:
-    """Adds run, lf, phi_inv, dsa: BWT run, last-to-first mapping, the next suffix's position,
-    the difference to the suffix before (in cyclic reading, phi_inv of the last row is that of row 0)."""
+    """Adds run, lf, phi, phi_inv, dsa: BWT run, last-to-first mapping, the positions of the suffix
+    before and of the next, the difference to the suffix before (in cyclic reading, the first row
+    follows the last one)."""
     order = Window.partitionBy("doc_id").orderBy("i")
     head = F.coalesce((F.col("bwt") != F.lag("bwt").over(order)).cast("int"), F.lit(0))
     rows = sa.withColumn("_head", head)
-    first = F.first("sa").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first("sa").over(whole), F.last("sa").over(whole)
     return (
         rows.withColumn("run", F.sum("_head").over(order).cast("long"))
         .withColumn("lf", (F.row_number().over(Window.partitionBy("doc_id").orderBy("bwt", "i")) - 1).cast("long"))
+        .withColumn("phi", F.coalesce(F.lag("sa").over(order), last))
         .withColumn("phi_inv", F.coalesce(F.lead("sa").over(order), first))
         .withColumn("dsa", F.col("sa") - F.coalesce(F.lag("sa").over(order), F.lit(0)))
         .drop("_head")
@@ -114,6 +117,28 @@ def intervals(sa: DataFrame, patterns: DataFrame) -> DataFrame:
     return heads.join(patterns.select("pat_id", "pattern"), "pattern").groupBy("doc_id", "pat_id").agg(F.min("i").alias("b"), F.max("i").alias("e"))
 
 
+def boundaries(sa: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, pat_id, lower, upper): how many suffixes are smaller than each pattern, and how many
+    are smaller or begin with it; for patterns that do not occur as well.
+
+    Suffixes and patterns are sorted together, a document at a time; every pattern is asked of every document.
+    """
+    docs = sa.select("doc_id").distinct()
+    ends = patterns.select("pat_id", F.explode(F.array(F.struct(F.col("pattern").alias("key"), F.lit(0).alias("end")), F.struct(F.concat("pattern", F.lit("\U0010ffff")).alias("key"), F.lit(1).alias("end")))).alias("x"))
+    asked = docs.crossJoin(F.broadcast(ends)).select("doc_id", "x.key", F.lit(0).alias("is_suffix"), "pat_id", "x.end")
+    both = asked.union(sa.select("doc_id", F.col("suffix").alias("key"), F.lit(1), F.lit(None).cast("long"), F.lit(None).cast("int")))
+    before = Window.partitionBy("doc_id").orderBy("key", "is_suffix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.withColumn("n", F.sum("is_suffix").over(before)).where("is_suffix = 0")
+    pick = lambda e: F.max(F.when(F.col("end") == e, F.col("n")))
+    return told.groupBy("doc_id", "pat_id").agg(pick(0).alias("lower"), pick(1).alias("upper"))
+
+
+def sizes(table: DataFrame) -> DataFrame:
+    """(doc_id, n, n_runs, n_symbols, per_run): what an index of each document has to hold."""
+    found = table.groupBy("doc_id").agg(F.count("*").alias("n"), (F.max("run") + 1).alias("n_runs"), F.countDistinct("bwt").alias("n_symbols"))
+    return found.withColumn("per_run", F.col("n") / F.col("n_runs"))
+
+
 def backward_step(intervals_: DataFrame, table: DataFrame, symbol) -> DataFrame:
     """(doc_id, pat_id, b, e) of the patterns with ``symbol`` (a column of theirs) put before.
 

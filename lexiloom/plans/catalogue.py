@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.alignment import edit_alignment
 from lexiloom.functions.generate import sample_patterns
-from lexiloom.functions.strings import common_prefix, edit_bounded, hamming_bounded, normalised_bases, reverse_complement
+from lexiloom.functions.strings import common_prefix, edit_bounded, hamming_bounded, lex_less, normalised_bases, reverse_complement
 from lexiloom.operators import approximate, compressed, exact, intervals, rank_select, suffix
 from lexiloom.operators.windows import symbols
 from lexiloom.plans import schemes
@@ -137,6 +137,7 @@ SQL_SA = (
         SELECT *, CASE WHEN bwt <> lag(bwt) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS head,
                row_number() OVER (PARTITION BY doc_id ORDER BY bwt, i) - 1 AS lf,
                coalesce(lead(sa) OVER (PARTITION BY doc_id ORDER BY i), first_value(sa) OVER (PARTITION BY doc_id ORDER BY i)) AS phi_inv,
+               coalesce(lag(sa) OVER (PARTITION BY doc_id ORDER BY i), last_value(sa) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS phi,
                sa - coalesce(lag(sa) OVER (PARTITION BY doc_id ORDER BY i), 0) AS dsa
         FROM sa)
 )"""
@@ -432,13 +433,22 @@ def a13_aligned_reads(spark, d):
     return approximate.ranked_hits(aligned(spark, d)[1]).drop("runs")
 
 
-@query()
+@query(
+    """SELECT family, k::INTEGER AS k, (k + more)::INTEGER AS parts, (k + 1)::INTEGER AS n_searches, 0::INTEGER AS n_uncovered
+FROM (VALUES ('pigeonhole', 1), ('suffix_filter', 1), ('zero_one', 2), ('first_exact', 1)) f(family, more), range(7) r(k)"""
+)
 def h_schemes(spark, d):
     """The families of search schemes and the error spreads they leave uncovered."""
-    made = [(name, k, s.parts, len(s.searches), len(s.uncovered())) for name, make in schemes.FAMILIES.items() for k in range(4) for s in [make(k)]]
+    made = [(name, k, s.parts, len(s.searches), len(s.uncovered())) for name, make in schemes.FAMILIES.items() for k in range(7) for s in [make(k)]]
     return spark.createDataFrame(made, "family string, k int, parts int, n_searches int, n_uncovered int")
 
 
+@query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_suppkey + l_linenumber DESC, l_partkey) AS place FROM lineitem")
+def o2_context_order(spark, d):
+    rows = tables.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("b"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("e"), F.col("l_partkey").alias("len"))
+    return approximate.in_context_order(rows, "l_orderkey").select("l_orderkey", "l_linenumber", "place")
+
+
 # ---- scalar functions
 
 
@@ -505,6 +515,11 @@ def f15_common_prefix(spark, d):
     return name_pairs(spark, d).select("p_partkey", common_prefix(F.col("p_name"), F.col("following")).alias("lcp"))
 
 
+@query(SQL_PAIRS + " SELECT p_partkey, p_name < following AS less FROM pairs")
+def f15_lex_less(spark, d):
+    return name_pairs(spark, d).select("p_partkey", lex_less(F.col("p_name"), F.col("following")).alias("less"))
+
+
 # ---- aggregations
 
 
@@ -545,6 +560,11 @@ def g8_dsa_freq(spark, d):
     return full_table(spark, d).groupBy("doc_id", "dsa").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {SQL_SA} SELECT doc_id, count(*) AS n, max(run) + 1 AS n_runs, count(DISTINCT bwt) AS n_symbols, count(*) / (max(run) + 1) AS per_run FROM full_t GROUP BY doc_id")
+def g9_sizes(spark, d):
+    return suffix.sizes(full_table(spark, d))
+
+
 # ---- suffix-array algebra
 
 
@@ -559,10 +579,10 @@ def w1_sa_by_doubling(spark, d):
     return suffix.suffix_array_by_doubling(symbols(items(spark, d)), scratch.stored)
 
 
-@query(f"WITH {SQL_SA} SELECT doc_id, i, bwt, run, lf, phi_inv, dsa FROM full_t")
+@query(f"WITH {SQL_SA} SELECT doc_id, i, bwt, run, lf, phi, phi_inv, dsa FROM full_t")
 def w2_table(spark, d):
-    """BWT, runs, LF, inverse Phi and differences of every item."""
-    return full_table(spark, d).select("doc_id", "i", "bwt", "run", "lf", "phi_inv", "dsa")
+    """BWT, runs, LF, Phi, its inverse and differences of every item."""
+    return full_table(spark, d).select("doc_id", "i", "bwt", "run", "lf", "phi", "phi_inv", "dsa")
 
 
 @query(f"WITH {SQL_SA} SELECT doc_id, run, min(bwt) AS sym, min(i) AS start, count(*) AS len, min_by(sa, i) AS first_sa, max_by(sa, i) AS last_sa, min(lf) AS q FROM full_t GROUP BY ALL")
@@ -641,6 +661,27 @@ def j2_sequences(spark, d):
     return intervals.collection(turns(spark, d))
 
 
+@query(
+    """WITH t AS (SELECT conv_id * 1000 + turn AS seq_id, length(coalesce(text, '')) AS length FROM conversations),
+s AS (SELECT coalesce(sum(length + 1) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS start FROM t)
+SELECT event_id, a.start AS at_most, b.start AS below, c.start AS at_least, d.start AS above FROM events
+ASOF LEFT JOIN s a ON event_id * 97 >= a.start ASOF LEFT JOIN s b ON event_id * 97 > b.start ASOF LEFT JOIN s c ON event_id * 97 <= c.start ASOF LEFT JOIN s d ON event_id * 97 < d.start"""
+)
+def j3_searches(spark, d):
+    """The turns' starts around the events' places: the four binary searches."""
+    rows = tables.read(spark, d, "events").select("event_id", (F.col("event_id") * 97).alias("pos"))
+    starts = intervals.collection(turns(spark, d))
+    for relation, name in (("max<=", "at_most"), ("max<", "below"), ("min>=", "at_least"), ("min>", "above")):
+        rows = intervals.nearest(rows, starts, "pos", "start", relation, name)
+    return rows.drop("pos")
+
+
+@query(f"WITH {SQL_SA}, {SQL_WORDS} SELECT doc_id, pat_id, count(*) FILTER (suffix < pattern) AS lower, count(*) FILTER (suffix < pattern OR starts_with(suffix, pattern)) AS upper FROM sa, words GROUP BY ALL")
+def j6_boundaries(spark, d):
+    """Where each word would stand in each item's array."""
+    return suffix.boundaries(array_table(spark, d, True), word_patterns(spark, d))
+
+
 SQL_MOVE = SQL_SA + ", mv AS (SELECT doc_id, run AS x, min(i) AS p, count(*) AS len, min(lf) AS q FROM full_t GROUP BY ALL)"
 
 
