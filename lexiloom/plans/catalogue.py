@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.alignment import edit_alignment
+from lexiloom.functions.alignment import edit_alignment, edit_window
 from lexiloom.functions.generate import sample_patterns
 from lexiloom.functions.strings import common_prefix, edit_bounded, hamming_bounded, lex_less, normalised_bases, reverse_complement
 from lexiloom.operators import approximate, compressed, exact, intervals, rank_select, suffix
@@ -492,7 +492,7 @@ SELECT p_partkey, coalesce(b.err, 11)::INTEGER AS err, coalesce(b.n, 0)::INTEGER
 )
 def f5_best_prefix(spark, d):
     """The prefix of the next name that is nearest to each name, within ten edits."""
-    return name_pairs(spark, d).select("p_partkey", edit_alignment(10)("p_name", "following").alias("a")).select("p_partkey", "a.err", "a.len")
+    return name_pairs(spark, d).select("p_partkey", edit_window(10)("p_name", "following").alias("a")).select("p_partkey", "a.err", "a.len")
 
 
 @query()

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """A new folder name below ``spark.checkpoint.dir``; a temporary one where none is set and one machine does all."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
