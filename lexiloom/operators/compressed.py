@@ -16,6 +16,8 @@ RLZ = "doc_id long, ph long, kind string, start long, len long, src long, litera
 REFERENCE = "doc_id long, at long, value long"
 LZEND = "doc_id long, ph long, src long, end_pos long, ext long, len long"
 MOST_LENGTH = 65_535
+#: Places of an array that phrases and ranges are matched by.
+PIECE = 256
 
 
 def reference_of(table: DataFrame, segment: int = 64, segments: int = 16) -> DataFrame:
@@ -73,6 +75,32 @@ def rlz_decoded(phrases: DataFrame, reference: DataFrame) -> DataFrame:
     return summed(values)
 
 
+def with_bases(phrases: DataFrame, sa: DataFrame) -> DataFrame:
+    """Phrases with ``base``, the array's value before each of them (0 before the first): from
+    there a phrase is decoded without those before it."""
+    before = sa.select("doc_id", (F.col("i") + 1).alias("start"), F.col("sa").alias("_before"))
+    return phrases.join(before, ["doc_id", "start"], "left").withColumn("base", F.coalesce("_before", F.lit(0).cast("long"))).drop("_before")
+
+
+def rlz_ranges(phrases: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, doc_id, i, sa) for ranges (query, doc_id, left, right): only the phrases that a range
+    meets are decoded, each by itself; phrases are ``with_bases``.
+
+    Phrases and ranges meet by an equi-join on the pieces of PIECE places that they touch.
+    """
+    pieces = lambda a, z: F.explode(F.sequence(F.floor(a / PIECE), F.floor(z / PIECE)))
+    held = phrases.withColumn("stop", F.col("start") + F.col("len") - 1)
+    held = held.select("doc_id", "ph", "start", "stop", "src", "literal", "base", pieces(F.col("start"), F.col("stop")).alias("piece"))
+    asked = queries.where("left <= right").select("query", "doc_id", "left", "right", pieces(F.col("left"), F.col("right")).alias("piece"))
+    met = held.join(asked, ["doc_id", "piece"]).where("start <= right AND stop >= left").dropDuplicates(["query", "doc_id", "ph", "left", "right"])
+    last = F.least("stop", "right") - F.col("start")
+    steps = met.select("query", "doc_id", "ph", "start", "src", "literal", "base", "left", "right", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
+    rows = steps.select("query", "doc_id", "ph", "base", "left", "right", "literal", (F.col("start") + F.col("o")).alias("i"), (F.col("src") + F.col("o")).alias("at"))
+    values = rows.join(reference, ["doc_id", "at"], "left").withColumn("dsa", F.coalesce("literal", "value"))
+    order = Window.partitionBy("query", "doc_id", "left", "right", "ph").orderBy("i")
+    return values.withColumn("sa", (F.col("base") + F.sum("dsa").over(order)).cast("long")).where("i >= left").select("query", "doc_id", "i", "sa")
+
+
 def summed(values: DataFrame) -> DataFrame:
     """(doc_id, i, sa) from (doc_id, i, dsa)."""
     order = Window.partitionBy("doc_id").orderBy("i")

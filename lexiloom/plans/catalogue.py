@@ -743,17 +743,42 @@ def r12_lz_end(spark, d):
     return compressed.lz_end_decoded(compressed.lz_end(full_table(spark, d)))
 
 
-@query(
-    f"""WITH {SQL_SA}, q AS (SELECT event_id AS query, event_id % (SELECT count(*) FROM items) AS doc_id, (event_id * 31) % 60 AS l FROM events),
+SQL_RANGES = f"""WITH {SQL_SA}, q AS (SELECT event_id AS query, event_id % (SELECT count(*) FROM items) AS doc_id, (event_id * 31) % 60 AS l FROM events),
 x AS (SELECT query, doc_id, unnest(range(l, l + 7)) AS i FROM q)
 SELECT query, doc_id, i, sa FROM x JOIN sa USING (doc_id, i)"""
-)
-def r18_random_access(spark, d):
-    """Ranges of seven places, one an event, read from the items' arrays."""
+
+
+def ranges(spark, d):
+    """Ranges of seven places of the items' arrays, one an event."""
     n = items(spark, d).count()
     left = (F.col("event_id") * 31) % 60
-    asked = tables.read(spark, d, "events").select(F.col("event_id").alias("query"), (F.col("event_id") % n).alias("doc_id"), left.alias("left"), (left + 6).alias("right"))
-    return compressed.random_access(array_table(spark, d), asked)
+    return tables.read(spark, d, "events").select(F.col("event_id").alias("query"), (F.col("event_id") % n).alias("doc_id"), left.alias("left"), (left + 6).alias("right"))
+
+
+@query(SQL_RANGES)
+def r18_random_access(spark, d):
+    """The ranges read from the items' arrays."""
+    return compressed.random_access(array_table(spark, d), ranges(spark, d))
+
+
+@query(SQL_RANGES)
+def r4_rlz_ranges(spark, d):
+    """The same ranges decoded from the phrases that they meet."""
+    table = full_table(spark, d)
+    reference = scratch.stored(compressed.reference_of(table))
+    phrases = compressed.with_bases(compressed.rlz(table, reference), table)
+    return compressed.rlz_ranges(phrases, reference, ranges(spark, d))
+
+
+@query(f"WITH {SQL_SA}, {SQL_WORDS} SELECT doc_id, pat_id, sa AS pos FROM sa JOIN words ON starts_with(suffix, pattern)")
+def e17_rlz_locate(spark, d):
+    """Words located in the items: their ranges of suffixes, whose places are decoded from phrases."""
+    table = full_table(spark, d)
+    reference = scratch.stored(compressed.reference_of(table))
+    phrases = compressed.with_bases(compressed.rlz(table, reference), table)
+    found = suffix.intervals(array_table(spark, d, True), word_patterns(spark, d))
+    found = found.select(F.col("pat_id").alias("query"), "doc_id", F.col("b").alias("left"), F.col("e").alias("right"))
+    return compressed.rlz_ranges(phrases, reference, found).select("doc_id", F.col("query").alias("pat_id"), F.col("sa").alias("pos"))
 
 
 @query()

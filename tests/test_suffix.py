@@ -99,6 +99,20 @@ def test_encodings_decode_to_the_array(spark, text):
     assert rows(compressed.lz_end_decoded(compressed.lz_end(t))) == want
 
 
+@pytest.mark.parametrize("text", [GOLDEN, "abcabcabcabc" * 6, "a", ""])
+def test_ranges_decode_from_their_phrases(spark, text, monkeypatch):
+    monkeypatch.setattr(compressed, "PIECE", 4)
+    t = scratch.stored(table(spark, text))
+    sa = {r.i: r.sa for r in t.collect()}
+    ref = scratch.stored(compressed.reference_of(t, segment=8, segments=3))
+    phrases = compressed.with_bases(compressed.rlz(t, ref), t)
+    n, doc = len(sa), t.first().doc_id
+    asked = [(0, 0, n - 1), (1, n - 1, n + 5), (2, n // 2, n // 2), (3, n // 3, n // 2 + 3), (3, 0, 1), (4, n, n + 2), (5, 2, 1)]
+    queries = spark.createDataFrame([(q, doc, a, z) for q, a, z in asked], "query long, doc_id long, left long, right long")
+    want = sorted((q, doc, i, sa[i]) for q, a, z in asked for i in range(a, z + 1) if i in sa)
+    assert rows(compressed.rlz_ranges(phrases, ref, queries)) == want
+
+
 def test_sequence_of_a_position(spark):
     seqs = intervals.collection(texts(spark, "abc", "", "de"))
     assert rows(seqs) == [(0, 1, 3), (1, 5, 0), (2, 6, 2)]
