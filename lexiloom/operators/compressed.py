@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.suffix import reverted
+
 RLZ = "doc_id long, ph long, kind string, start long, len long, src long, literal long"
 REFERENCE = "doc_id long, at long, value long"
 LZEND = "doc_id long, ph long, src long, end_pos long, ext long, len long"
@@ -82,25 +84,49 @@ def with_bases(phrases: DataFrame, sa: DataFrame) -> DataFrame:
     return phrases.join(before, ["doc_id", "start"], "left").withColumn("base", F.coalesce("_before", F.lit(0).cast("long"))).drop("_before")
 
 
-def rlz_ranges(phrases: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, doc_id, i, sa) for ranges (query, doc_id, left, right): only the phrases that a range
-    meets are decoded, each by itself; phrases are ``with_bases``.
-
-    Phrases and ranges meet by an equi-join on the pieces of PIECE places that they touch.
-    """
+def met(phrases: DataFrame, queries: DataFrame) -> DataFrame:
+    """Phrases (doc_id, ph, start, stop, ...) beside the ranges (query, doc_id, left, right) that meet
+    them: an equi-join on the pieces of PIECE places that both touch."""
     pieces = lambda a, z: F.explode(F.sequence(F.floor(a / PIECE), F.floor(z / PIECE)))
-    held = phrases.withColumn("stop", F.col("start") + F.col("len") - 1)
-    held = held.select("doc_id", "ph", "start", "stop", "src", "literal", "base", pieces(F.col("start"), F.col("stop")).alias("piece"))
+    held = phrases.withColumn("piece", pieces(F.col("start"), F.col("stop")))
     asked = queries.where("left <= right").select("query", "doc_id", "left", "right", pieces(F.col("left"), F.col("right")).alias("piece"))
-    met = held.join(asked, ["doc_id", "piece"]).where("start <= right AND stop >= left").dropDuplicates(["query", "doc_id", "ph", "left", "right"])
-    last = F.least("stop", "right") - F.col("start")
-    steps = met.select("query", "doc_id", "ph", "start", "src", "literal", "base", "left", "right", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
-    rows = steps.select("query", "doc_id", "ph", "base", "left", "right", "literal", (F.col("start") + F.col("o")).alias("i"), (F.col("src") + F.col("o")).alias("at"))
-    values = rows.join(reference, ["doc_id", "at"], "left").withColumn("dsa", F.coalesce("literal", "value"))
+    found = held.join(asked, ["doc_id", "piece"]).where("start <= right AND stop >= left")
+    return found.drop("piece").dropDuplicates(["query", "doc_id", "ph", "left", "right"])
+
+
+def places(found: DataFrame) -> DataFrame:
+    """The places i of each phrase ``met``, from its start to where it or the range ends."""
+    return found.withColumn("i", F.explode(F.sequence("start", F.least("stop", "right"))))
+
+
+def from_bases(values: DataFrame) -> DataFrame:
+    """(query, doc_id, i, sa) from the differences ``dsa`` of ``places``."""
     order = Window.partitionBy("query", "doc_id", "left", "right", "ph").orderBy("i")
     return values.withColumn("sa", (F.col("base") + F.sum("dsa").over(order)).cast("long")).where("i >= left").select("query", "doc_id", "i", "sa")
 
 
+def rlz_ranges(phrases: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, doc_id, i, sa) for ranges (query, doc_id, left, right): only the phrases that a range
+    meets are decoded, each by itself; phrases are ``with_bases``."""
+    held = phrases.select("doc_id", "ph", "start", (F.col("start") + F.col("len") - 1).alias("stop"), "src", "literal", "base")
+    rows = places(met(held, queries)).withColumn("at", F.col("src") + F.col("i") - F.col("start"))
+    return from_bases(rows.join(reference, ["doc_id", "at"], "left").withColumn("dsa", F.coalesce("literal", "value")))
+
+
+def cursor_ranges(cursors: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(query, doc_id, left, right) that cursors (query, doc_id, at, turned, skip, n) report.
+
+    A cursor stands before the place ``at`` (after it, if ``turned``), skips ``skip`` places and
+    reports the next ``n`` in its direction; it ends with its array, whose length is ``n_rows`` in
+    ``sizes``.  Cursors with nothing to report have no row.
+    """
+    near = F.when(F.col("turned"), F.col("at") - F.col("skip")).otherwise(F.col("at") + F.col("skip"))
+    far = F.when(F.col("turned"), near - F.col("n") + 1).otherwise(near + F.col("n") - 1)
+    rows = cursors.join(sizes.select("doc_id", "n_rows"), "doc_id").where("n > 0")
+    rows = rows.select("query", "doc_id", F.greatest(F.least(near, far), F.lit(0)).alias("left"), F.least(F.greatest(near, far), F.col("n_rows") - 1).alias("right"))
+    return rows.where("left <= right")
+
+
 def summed(values: DataFrame) -> DataFrame:
     """(doc_id, i, sa) from (doc_id, i, dsa)."""
     order = Window.partitionBy("doc_id").orderBy("i")
@@ -154,6 +180,65 @@ def lz_end_decoded(phrases: DataFrame) -> DataFrame:
     return summed(phrases.groupBy("doc_id").applyInPandas(decode, "doc_id long, i long, dsa long"))
 
 
+def lz_end_with_bases(phrases: DataFrame, sa: DataFrame) -> DataFrame:
+    """LZ-End phrases with ``start`` and ``base``, as ``with_bases`` adds it."""
+    return with_bases(phrases.withColumn("start", F.col("end_pos") - F.col("len") + 1), sa)
+
+
+def lz_end_ranges(phrases: DataFrame, queries: DataFrame, stored) -> DataFrame:
+    """(query, doc_id, i, sa) for ranges (query, doc_id, left, right), without the rest of an array;
+    phrases are ``lz_end_with_bases``.
+
+    Places of the phrases that a range meets are followed to their sources, all at once, until
+    each stands at a phrase's end, whose value is given.  A round is an equi-join on pieces; their
+    number is that of the longest chain of copies.
+    """
+    ends = phrases.select("doc_id", F.col("ph").alias("src"), F.col("end_pos").alias("_end"))
+    held = phrases.join(ends, ["doc_id", "src"], "left").select(
+        "doc_id", "ph", "start", F.col("end_pos").alias("stop"), "ext", "base", (F.col("_end") + 2 - F.col("len") - F.col("start")).alias("shift")
+    )
+    held = stored(held)
+    asked = stored(places(met(held, queries)).select("query", "doc_id", "left", "right", "ph", "base", "i"))
+    by_piece = held.select("doc_id", "start", "stop", "ext", "shift", F.explode(F.sequence(F.floor(F.col("start") / PIECE), F.floor(F.col("stop") / PIECE))).alias("piece"))
+    walking = asked.select("doc_id", "i").distinct().withColumn("at", F.col("i"))
+    known = None
+    while True:
+        step = walking.withColumn("piece", F.floor(F.col("at") / PIECE)).join(by_piece, ["doc_id", "piece"]).where("start <= at AND at <= stop")
+        step = stored(step.select("doc_id", "i", F.when(F.col("at") < F.col("stop"), F.col("at") + F.col("shift")).alias("at"), "ext"))
+        ended = step.where("at IS NULL").select("doc_id", "i", F.col("ext").alias("dsa"))
+        known = ended if known is None else known.union(ended)
+        walking = step.where("at IS NOT NULL").select("doc_id", "i", "at")
+        if walking.isEmpty():
+            return from_bases(asked.join(known, ["doc_id", "i"]))
+
+
+def converted(runs: DataFrame, phrases: DataFrame, reference: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a plain encoding (texts, phrases with bases[, reference]) from those of one over
+    the runs (doc_id, sym, start, len) of a transform.
+
+    The phrases stay as they are; the texts, which the plain form searches, are read off the
+    transform.  Without ``reference`` the phrases are LZ-End.
+    """
+    array = lz_end_decoded(phrases) if reference is None else rlz_decoded(phrases, reference)
+    bwt = runs.select("doc_id", F.col("sym").alias("bwt"), F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("i"))
+    texts = reverted(array.join(bwt, ["doc_id", "i"]))
+    if reference is None:
+        return {"texts": texts, "phrases": lz_end_with_bases(phrases, array)}
+    return {"texts": texts, "phrases": with_bases(phrases, array), "reference": reference}
+
+
+def inspected(runs: DataFrame) -> DataFrame:
+    """(doc_id, n_rows, n_runs, longest, n_symbols): what the transform of a document is made of."""
+    return runs.groupBy("doc_id").agg(
+        F.sum("len").cast("long").alias("n_rows"), F.count("*").alias("n_runs"), F.max("len").alias("longest"), F.countDistinct("sym").alias("n_symbols")
+    )
+
+
+def phrase_lengths(phrases: DataFrame) -> DataFrame:
+    """(doc_id, n_phrases, n_copies, longest) of either encoding."""
+    return phrases.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.count(F.when(F.col("len") > 1, 1)).alias("n_copies"), F.max("len").alias("longest"))
+
+
 def random_access(sa: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, doc_id, i, sa) for ranges (query, doc_id, left, right): an equi-join on each place."""
     places = queries.select("query", "doc_id", F.explode(F.sequence("left", "right")).alias("i"))

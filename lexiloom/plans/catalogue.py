@@ -781,6 +781,49 @@ def e17_rlz_locate(spark, d):
     return compressed.rlz_ranges(phrases, reference, found).select("doc_id", F.col("query").alias("pat_id"), F.col("sa").alias("pos"))
 
 
+@query(SQL_RANGES)
+def r13_lz_end_ranges(spark, d):
+    """The same ranges from LZ-End phrases, copies followed to their sources."""
+    table = scratch.stored(full_table(spark, d))
+    phrases = compressed.lz_end_with_bases(compressed.lz_end(table), table)
+    return compressed.lz_end_ranges(phrases, ranges(spark, d), scratch.stored)
+
+
+@query(
+    f"""WITH {SQL_SA}, q AS (SELECT event_id AS query, event_id % (SELECT count(*) FROM items) AS doc_id, (event_id * 31) % 60 AS start, event_id % 2 = 1 AS turned,
+event_id % 5 AS skip, event_id % 9 AS n FROM events),
+o AS (SELECT *, unnest(range(0, n)) AS o FROM q),
+x AS (SELECT query, doc_id, CASE WHEN turned THEN start - skip - o ELSE start + skip + o END AS i FROM o)
+SELECT query, doc_id, i, sa FROM x JOIN sa USING (doc_id, i)"""
+)
+def r9_cursor(spark, d):
+    """Cursors on the items' phrases: every second one turned, up to four places skipped and eight reported."""
+    table = scratch.stored(full_table(spark, d))
+    reference = scratch.stored(compressed.reference_of(table))
+    phrases = compressed.with_bases(compressed.rlz(table, reference), table)
+    asked = ranges(spark, d).select("query", "doc_id", F.col("left").alias("at"), (F.col("query") % 2 == 1).alias("turned"), (F.col("query") % 5).alias("skip"), (F.col("query") % 9).alias("n"))
+    sizes = table.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    return compressed.rlz_ranges(phrases, reference, compressed.cursor_ranges(asked, sizes))
+
+
+@query("SELECT kind, item_id AS doc_id, text FROM benchmark, (VALUES ('lz_end'), ('rlz')) k(kind)")
+def r17_converted(spark, d):
+    """The items' texts as both conversions read them off the runs."""
+    table = scratch.stored(full_table(spark, d))
+    runs, reference = scratch.stored(suffix.runs(table)), scratch.stored(compressed.reference_of(table))
+    rlz = compressed.converted(runs, compressed.rlz(table, reference), reference)["texts"]
+    lz_end = compressed.converted(runs, compressed.lz_end(table))["texts"]
+    return rlz.select(F.lit("rlz").alias("kind"), "doc_id", "text").union(lz_end.select(F.lit("lz_end").alias("kind"), "doc_id", "text"))
+
+
+@query(
+    f"""WITH {SQL_SA}, x AS (SELECT doc_id, run, any_value(bwt) AS sym, count(*) AS len FROM full_t GROUP BY doc_id, run)
+SELECT doc_id, sum(len)::BIGINT AS n_rows, count(*) AS n_runs, max(len) AS longest, count(DISTINCT sym) AS n_symbols FROM x GROUP BY doc_id"""
+)
+def r19_inspected(spark, d):
+    return compressed.inspected(suffix.runs(full_table(spark, d)))
+
+
 @query()
 def x3_sampled_patterns(spark, d):
     """A hundred patterns of twenty symbols drawn from the documents: a sampling operator."""

@@ -113,6 +113,44 @@ def test_ranges_decode_from_their_phrases(spark, text, monkeypatch):
     assert rows(compressed.rlz_ranges(phrases, ref, queries)) == want
 
 
+@pytest.mark.parametrize("text", [GOLDEN, "abcabcabcabc" * 6, "aaaaaaaaa", "a", ""])
+def test_lz_end_ranges_and_cursors(spark, text, monkeypatch):
+    monkeypatch.setattr(compressed, "PIECE", 4)
+    t = scratch.stored(table(spark, text))
+    sa = {r.i: r.sa for r in t.collect()}
+    n, doc = len(sa), t.first().doc_id
+    phrases = compressed.lz_end_with_bases(compressed.lz_end(t), t)
+    asked = [(0, 0, n - 1), (1, n - 1, n + 5), (2, n // 2, n // 2), (3, n // 3, n // 2 + 3), (4, n, n + 2), (5, 2, 1)]
+    queries = spark.createDataFrame([(q, doc, a, z) for q, a, z in asked], "query long, doc_id long, left long, right long")
+    want = sorted((q, doc, i, sa[i]) for q, a, z in asked for i in range(a, z + 1) if i in sa)
+    assert rows(compressed.lz_end_ranges(phrases, queries, scratch.stored)) == want
+    moves = [(0, 0, False, 0, 3), (1, n - 1, True, 1, 4), (2, n // 2, True, 0, n), (3, n // 2, False, 2, n), (4, 0, True, 1, 2), (5, 0, False, 0, 0)]
+    cursors = spark.createDataFrame([(q, doc, *m) for q, *m in moves], "query long, doc_id long, at long, turned boolean, skip long, n long")
+    sizes = t.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    want = sorted((q, doc, i) for q, at, back, skip, k in moves for o in range(k) if (i := at - skip - o if back else at + skip + o) in sa)
+    got = compressed.random_access(t, compressed.cursor_ranges(cursors, sizes))
+    assert rows(got.select("query", "doc_id", "i")) == want
+
+
+@pytest.mark.parametrize("text", [GOLDEN, "abcabcabcabc" * 6, "a"])
+def test_conversions_give_texts_and_phrases(spark, text):
+    t = scratch.stored(table(spark, text))
+    doc, runs = t.first().doc_id, suffix.runs(t)
+    ref = scratch.stored(compressed.reference_of(t, segment=8, segments=3))
+    everything = t.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("query"), "doc_id", F.lit(0).cast("long").alias("left"), (F.col("n") - 1).alias("right"))
+    want = rows(t.select(F.lit(0).cast("long").alias("query"), "doc_id", "i", "sa"))
+    plain = compressed.converted(runs, compressed.rlz(t, ref), ref)
+    assert rows(plain["texts"].select("doc_id", "text")) == [(doc, text)]
+    assert rows(compressed.rlz_ranges(plain["phrases"], plain["reference"], everything)) == want
+    plain = compressed.converted(runs, compressed.lz_end(t))
+    assert rows(plain["texts"].select("doc_id", "text")) == [(doc, text)]
+    assert rows(compressed.lz_end_ranges(plain["phrases"], everything, scratch.stored)) == want
+    seen = compressed.inspected(runs).first()
+    assert (seen.n_rows, seen.n_runs) == (len(text) + 1, runs.count())
+    for made in (compressed.rlz(t, ref), compressed.lz_end(t)):
+        assert made.agg(F.sum("len")).first()[0] == len(text) + 1 and compressed.phrase_lengths(made).first().n_phrases == made.count()
+
+
 def test_sequence_of_a_position(spark):
     seqs = intervals.collection(texts(spark, "abc", "", "de"))
     assert rows(seqs) == [(0, 1, 3), (1, 5, 0), (2, 6, 2)]
