@@ -1,15 +1,17 @@
-"""Command line: build, count, locate, align, revert, patterns.
+"""Command line: build, count, locate, align, revert, patterns, bench.
 
     python -m lexiloom build TEXTS INDEX [--fasta]
     python -m lexiloom count INDEX PATTERNS OUT [-k K] [--histogram]
     python -m lexiloom locate INDEX PATTERNS OUT [-k K] [--metric edit] [--format text|sam|bed|paf] [--fastq] [--best] [--seq] [--no-rc] [--no-cigar]
     python -m lexiloom revert INDEX OUT [--left L --right R]
     python -m lexiloom patterns INDEX OUT -n N -m LENGTH [--forbidden CHARS] [--seed SEED]
+    python -m lexiloom bench INDEX [-k K ...] [-m LENGTH ...] [-a A ...] [-n N] [--metric ...] [--only match|extend|balance ...] [--budget SECONDS]
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
 
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from lexiloom import ship
 from lexiloom.functions.generate import sample_patterns
 from lexiloom.operators import approximate, exact, suffix
+from lexiloom.plans import grid
 from lexiloom.sinks import records
-from lexiloom.sources import sequences, tables
+from lexiloom.sources import scratch, sequences, tables
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -55,6 +58,16 @@ def arguments() -> argparse.ArgumentParser:
     make.add_argument("-m", type=int, required=True)
     make.add_argument("--forbidden", default="")
     make.add_argument("--seed", type=int, default=42)
+    timed = sub.add_parser("bench")
+    timed.add_argument("index")
+    timed.add_argument("-k", type=int, nargs="*", default=list(grid.ERRORS))
+    timed.add_argument("-m", type=int, nargs="*", default=list(grid.LENGTHS))
+    timed.add_argument("-a", type=int, nargs="*", default=list(grid.BALANCES))
+    timed.add_argument("-n", type=int, default=100)
+    timed.add_argument("--metric", choices=["hamming", "edit"], nargs="*", default=["hamming", "edit"])
+    timed.add_argument("--only", choices=grid.KINDS, nargs="*", default=list(grid.KINDS))
+    timed.add_argument("--seed", type=int, default=42)
+    timed.add_argument("--budget", type=float, default=float("inf"))
     return top
 
 
@@ -125,6 +138,13 @@ def patterns(spark: SparkSession, a: argparse.Namespace) -> None:
     _joined(lines, a.out)
 
 
+def bench(spark: SparkSession, a: argparse.Namespace) -> None:
+    texts = tables.load_index(spark, a.index, "texts")["texts"].select("doc_id", "text")
+    chosen = grid.cells(a.k, a.m, a.metric, a.only, a.a)
+    for row in grid.run(texts, chosen, a.n, a.seed, scratch.stored, a.budget):
+        print(json.dumps(row), flush=True)
+
+
 def _joined(lines: DataFrame, path: str) -> None:
     """Header and patterns as one text without line ends between patterns."""
     body = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("value"))
@@ -136,7 +156,7 @@ def main() -> None:
     spark = SparkSession.builder.appName("lexiloom").getOrCreate()
     ship(spark)
     began = time.time()
-    {"build": build, "count": count, "locate": locate, "revert": revert, "patterns": patterns}[a.command](spark, a)
+    {"build": build, "count": count, "locate": locate, "revert": revert, "patterns": patterns, "bench": bench}[a.command](spark, a)
     print(records.measurement(command=a.command, seconds=round(time.time() - began, 3)))
 
 
