@@ -7,7 +7,9 @@ without symbol; ``X`` and ``D`` of one with the text's symbol, ``I`` of one with
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
 
 import numpy as np
 import pandas as pd
@@ -63,6 +65,98 @@ def best_prefixes(patterns: list[str], texts: list[str], k: int, least: int = 1)
     return err, length
 
 
+def starts_within(codes: np.ndarray, pattern: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in ``codes`` of windows within k edits of a pattern of more than k symbols, and for each
+    the smallest distance and the shortest length of a window that has it.
+
+    -1 is in no pattern: k + 1 of them keep texts apart.  The programme runs from the end, a row for
+    each symbol of the pattern over all places at once; a cell holds distance * unit + length, so that
+    its minimum is the shortest window of smallest distance.
+    """
+    m, n = len(pattern), len(codes)
+    unit = m + k + 1
+    none = (k + 1) * unit
+    kind = np.uint8 if none + unit + 1 < 256 else np.uint16 if none + unit + 1 < 65536 else np.int64
+    turned = codes[::-1]
+    costs = {c: np.where(turned == c, 1, 1 + unit).astype(kind) for c in set(pattern.tolist())}
+    row, new, more = np.zeros(n + 1, kind), np.empty(n + 1, kind), np.empty(n, kind)
+    for c in pattern[::-1].tolist():
+        np.add(row, unit, out=new)
+        np.add(row[:-1], costs[c], out=more)
+        np.minimum(new[1:], more, out=new[1:])
+        for _ in range(k):  # more symbols of the text, one error each
+            np.add(new[:-1], unit + 1, out=more)
+            np.minimum(new[1:], more, out=new[1:])
+            np.minimum(new, none, out=new)
+        row, new = new, row
+    at = np.flatnonzero(row[1:] < none) + 1
+    at = at[turned[at - 1] >= 0][::-1]
+    found = row[at].astype(np.int64)
+    return n - at, found // unit, found % unit
+
+
+#: Symbols that ``scanned`` takes at a time: its arrays stay in the processor's cache.
+BLOCK = 1 << 16
+
+
+def scanned(texts: list[str], patterns: list[str], k: int) -> list[np.ndarray]:
+    """For each text an array of rows (pattern's number, start, length, distance), as ``starts_within`` has them."""
+    gap = np.full(k + 1, -1, np.int32)
+    parts = [x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), np.int32), gap)]
+    firsts = np.cumsum([0, *(len(t) + k + 1 for t in texts)])[:-1]
+    codes = np.concatenate([*parts, gap])
+    sought = [np.frombuffer(p.encode("utf-32-le"), np.int32) for p in patterns]
+    reach = max(map(len, sought), default=0) + k
+    rows = []
+    for low in range(0, len(codes), BLOCK):
+        block = codes[low : low + BLOCK + reach]
+        for i, p in enumerate(sought):
+            at, err, length = starts_within(block, p, k)
+            own = at < BLOCK
+            rows.append(np.stack([np.full(own.sum(), i), at[own] + low, length[own], err[own]], axis=1))
+    found = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
+    text = np.searchsorted(firsts, found[:, 1], side="right") - 1
+    order = np.argsort(text, kind="stable")
+    found, text = found[order], text[order]
+    found[:, 1] -= firsts[text]
+    return np.split(found, np.searchsorted(text, np.arange(1, len(texts))))
+
+
+def not_redundant(positions: list[int], errors: list[int], k: int) -> list[int]:
+    """The hits of one pattern in one text, by position, that ``approximate.without_redundant`` keeps."""
+    kept: list = []
+    for i, (pos, err) in enumerate(zip(positions, errors, strict=True)):
+        while len(kept) >= 2 and pos - kept[-2][1] <= 2 * k + 3 and kept[-2][2] <= kept[-1][2] and err <= kept[-1][2]:
+            kept.pop()
+        kept.append((i, pos, err))
+    return [i for i, _, _ in kept]
+
+
+def edit_scan(k: int, filtered: bool):
+    """Column function (text, patterns as a JSON list): struct of arrays, one element for each start in the text
+    of a window within k edits of a pattern of more than k characters: its number, ..., the window.
+
+    ``filtered``: without redundant hits, all of a pattern in a text being there.
+    """
+
+    @F.pandas_udf("struct<i: array<int>, pos: array<int>, len: array<int>, err: array<int>, w: array<string>>")
+    def run(text: pd.Series, patterns: pd.Series) -> pd.DataFrame:
+        out: list = [None] * len(text)
+        for block, same in text.reset_index(drop=True).groupby(patterns.reset_index(drop=True)):
+            texts = list(same)
+            for n, t, rows in zip(same.index, texts, scanned(texts, json.loads(block), k), strict=True):
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                if filtered:
+                    cuts = np.flatnonzero(np.diff(rows[:, 0], prepend=-1, append=-1))
+                    own = [rows[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+                    rows = np.concatenate([x[not_redundant(x[:, 1].tolist(), x[:, 3].tolist(), k)] for x in own] or [rows])
+                i, pos, length, err = rows.astype(np.int32).T.copy()
+                out[n] = (i, pos, length, err, [t[a:b] for a, b in zip(pos.tolist(), (pos + length).tolist(), strict=True)])
+        return pd.DataFrame(out, columns=["i", "pos", "len", "err", "w"])
+
+    return run
+
+
 def edit_script(pattern: str, text: str, k: int) -> tuple[int, list[Run]]:
     """The edit distance of pattern and text (at most k, else k + 1 and no script) and a script.
 
@@ -169,6 +263,27 @@ def edit_alignment(k: int):
     return run
 
 
+@functools.lru_cache(1 << 15)
+def _spelled(pattern: str, window: str, k: int):
+    err, script = edit_script(pattern, window, k)
+    return err, cigar(script), md(script), [{"op": o, "len": n, "sym": s} for o, n, s in script]
+
+
+def window_alignment(k: int):
+    """Column function (pattern, window of the text within k edits of it): struct of ALIGNED.
+
+    Short patterns meet the same windows over and over; a process keeps their scripts.
+    """
+
+    @F.pandas_udf(f"struct<{', '.join(c.replace(' ', ': ', 1) for c in ('err int', 'len int', 'cigar string', 'md string', 'runs ' + RUNS))}>")
+    def run(pattern: pd.Series, window: pd.Series) -> pd.DataFrame:
+        made = [_spelled(p, w, k) for p, w in zip(pattern, window, strict=True)]
+        err, cigars, mds, runs = zip(*made, strict=True) if made else ((), (), (), ())
+        return pd.DataFrame({"err": err, "len": window.str.len(), "cigar": cigars, "md": mds, "runs": runs})
+
+    return run
+
+
 def hamming_alignment():
     """Column function (pattern, text of the same length): struct of ALIGNED."""
 

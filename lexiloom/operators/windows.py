@@ -38,13 +38,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def chunks(texts: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
-    """(doc_id, c, part): piece c of ``size`` characters and up to ``overlap`` more, at most ``size``."""
+def chunks(texts: DataFrame, overlap: int, size: int = CHUNK, dealt: bool = False) -> DataFrame:
+    """(doc_id, c, part): piece c of ``size`` characters and up to ``overlap`` more, at most ``size``.
+
+    ``dealt``: the texts have been spread before, and stay where they are.
+    """
     if overlap > size:
         raise ValueError("chunks overlap by their own length at most")
     pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % size), 0)
     joined = lambda p: F.transform(p, lambda x, c: F.concat(x, F.substring(F.coalesce(F.get(p, c + 1), F.lit("")), 1, overlap)))
-    rows = spread(texts).select("doc_id", F.posexplode(let(pieces, joined) if overlap else pieces).alias("c", "part"))
+    rows = (texts if dealt else spread(texts)).select("doc_id", F.posexplode(let(pieces, joined) if overlap else pieces).alias("c", "part"))
     return rows.select("doc_id", F.col("c").cast("long").alias("c"), "part")
 
 
@@ -69,6 +72,21 @@ def windows_with_tail(texts: DataFrame, q: int, longest: int) -> DataFrame:
     return _exploded(chunks(texts, longest - 1, size), q, size, made).select("doc_id", "pos", "w.window", "w.tail")
 
 
+def windows_within(texts: DataFrame, q: int, before: int, behind: int) -> DataFrame:
+    """(doc_id, pos, window, part, at): every window of ``q`` characters with a stretch of the text that
+    has ``before`` characters before its start (NUL where the text has none) and ``behind`` from there on.
+
+    ``at`` counts from 1 in ``part``.  Texts have been spread before; rows that are dropped at once
+    cost no copy of ``part``.
+    """
+    size = size_for(before + behind)
+    padded = texts.select("doc_id", F.concat(F.lit("\0" * before), F.col("text")).alias("text"))
+    last = F.least(F.lit(size), F.char_length("part") - before - q + 1)
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    rows = chunks(padded, before + behind, size, dealt=True).select("doc_id", "c", "part", F.posexplode(F.transform(starts, lambda i: F.substring("part", i + before, F.lit(q)))).alias("i", "window"))
+    return rows.select("doc_id", (F.col("c") * size + F.col("i")).alias("pos"), "window", "part", (F.col("i") + before + 1).alias("at"))
+
+
 def size_for(longest: int) -> int:
     """The smallest size of pieces of which two hold any stretch of ``longest`` characters."""
     return next((s for s in SIZES if s >= longest), max(longest, SIZES[-1]))
