@@ -104,14 +104,16 @@ def sam_approximate(hits: DataFrame, reads: DataFrame, names: DataFrame, best: b
 
 def paf(hits: DataFrame, reads: DataFrame, names: DataFrame, cigars: bool = True) -> DataFrame:
     """(pat_id, strand, doc_id, pos, line); ``names`` is (doc_id, name, length)."""
-    rows = hits.join(reads.select("pat_id", F.col("name").alias("_read"), F.char_length("pattern").alias("_m")), "pat_id").join(names, "doc_id")
     if cigars:
         block = F.aggregate("runs", F.lit(0), lambda n, r: n + r["len"])
         matches = F.aggregate("runs", F.lit(0), lambda n, r: n + F.when(r["op"] == "=", r["len"]).otherwise(0))
     else:
         block, matches = F.col("len"), F.greatest(F.col("len") - F.col("err"), F.lit(0))
+    # counted before the join with the names, so that scripts are not moved
+    rows = hits.select("doc_id", "pat_id", "strand", "pos", "len", "err", *(["cigar"] if cigars else []), block.alias("_block"), matches.alias("_matches"))
+    rows = rows.join(reads.select("pat_id", F.col("name").alias("_read"), F.char_length("pattern").alias("_m")), "pat_id").join(names, "doc_id")
     line = F.concat_ws(
-        TAB, "_read", "_m", F.lit("0"), "_m", "strand", "name", "length", "pos", F.col("pos") + F.col("len"), matches, block, F.lit("255"),
+        TAB, "_read", "_m", F.lit("0"), "_m", "strand", "name", "length", "pos", F.col("pos") + F.col("len"), "_matches", "_block", F.lit("255"),
         F.concat(F.lit("NM:i:"), F.col("err").cast("string")), *([F.concat(F.lit("cg:Z:"), "cigar")] if cigars else []),
     )
     return rows.select("pat_id", "strand", "doc_id", "pos", line.alias("line"))

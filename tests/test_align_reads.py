@@ -4,6 +4,7 @@ import random
 
 from lexiloom.functions import alignment as A
 from lexiloom.operators import approximate
+from lexiloom.sinks import records
 from tests.test_approximate import naive_edit
 from tests.test_exact import patterns, texts
 
@@ -51,3 +52,12 @@ def test_a_read_moves_no_unverified_candidates(spark):
     hits = approximate.align_reads(texts(spark, t), patterns(spark, t[100 : 100 + m], t[9000 : 9000 + m]), 2)
     assert moved(spark, hits) <= 20 * hits.count() + 20
     assert moved(spark, approximate.ranked_hits(hits)) <= 20 * hits.count() + 40
+
+
+def test_paf_joins_names_without_scripts(spark):
+    hits = spark.createDataFrame([(7, 1, "+", 4, 3, 1, "2=1X", "2A0", [("=", 2, None), ("X", 1, "A")])], f"doc_id long, pat_id long, strand string, pos long, len int, err int, cigar string, md string, runs {A.RUNS}")
+    reads = spark.createDataFrame([(1, "r", "CCG")], "pat_id long, name string, pattern string")
+    lines = records.paf(hits, reads, spark.createDataFrame([(7, "d", 9)], "doc_id long, name string, length int"))
+    assert [r.line for r in lines.collect()] == ["r\t3\t0\t3\t+\td\t9\t4\t7\t2\t3\t255\tNM:i:1\tcg:Z:2=1X"]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("aggregate(runs") > plan.rindex("Join") and plan.index("aggregate(runs") > plan.index("Join")
