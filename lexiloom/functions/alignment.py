@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -76,7 +77,8 @@ def starts_within(codes: np.ndarray, pattern: np.ndarray, k: int) -> tuple[np.nd
     m, n = len(pattern), len(codes)
     unit = m + k + 1
     none = (k + 1) * unit
-    kind = np.uint8 if none + unit + 1 < 256 else np.uint16 if none + unit + 1 < 65536 else np.int64
+    most = none + 2 * unit + 1
+    kind = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64
     turned = codes[::-1]
     costs = {c: np.where(turned == c, 1, 1 + unit).astype(kind) for c in set(pattern.tolist())}
     row, new, more = np.zeros(n + 1, kind), np.empty(n + 1, kind), np.empty(n, kind)
@@ -157,6 +159,200 @@ def edit_scan(k: int, filtered: bool):
     return run
 
 
+#: Base of the hashes of stretches (odd, so that it has an inverse) and a factor that mixes their bits.
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+
+class Seeds:
+    """Stretches of patterns, each of ``q`` symbols at least, to be met in texts.
+
+    Hashes of q symbols choose the stretches, hashes of whole ones confirm them; a stretch that is
+    met by chance costs a comparison, none is lost.
+    """
+
+    def __init__(self, patterns: list[np.ndarray], stretches: list[list[tuple[int, int]]], q: int):
+        self.q, self.longest = q, max((b - a for own in stretches for a, b in own), default=q)
+        n = BLOCK + self.longest
+        self.up, self.down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+        self.up[1:], self.down[1:] = BASE, pow(BASE, -1, 1 << 64)
+        np.cumprod(self.up, out=self.up)
+        np.cumprod(self.down, out=self.down)
+        rows = []
+        for i, (p, own) in enumerate(zip(patterns, stretches, strict=True)):
+            sums = self.sums(p)
+            a, b = np.array(own).T
+            first, whole = (((sums[x] - sums[a]) * self.down[a]).tolist() for x in (a + q, b))
+            rows += zip(first, whole, (b - a).tolist(), [i] * len(own), a.tolist(), strict=True)
+        rows.sort()
+        self.keys, self.whole = (np.array([r[x] for r in rows], np.uint64) for x in (0, 1))
+        self.n, self.pattern, self.off = (np.array([r[x] for r in rows], np.int64) for x in (2, 3, 4))
+        self.marked = np.zeros(1 << 16, bool)
+        self.marked[(self.keys * MIX) >> np.uint64(48)] = True
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + 2).astype(np.uint64) * self.up[: len(codes)], out=out[1:])
+        return out
+
+    def met(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of patterns and the places at which they would start without errors."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        for low in range(0, len(codes), BLOCK):
+            sums = self.sums(codes[low : low + BLOCK + self.longest - 1])
+            n = len(sums) - 1
+            if n < self.q:
+                break
+            first = (sums[self.q :] - sums[: -self.q]) * self.down[: n - self.q + 1]
+            at = np.flatnonzero(self.marked[(first[:BLOCK] * MIX) >> np.uint64(48)])
+            a, b = (np.searchsorted(self.keys, first[at], side) for side in ("left", "right"))
+            seed = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+            at = np.repeat(at, b - a)
+            fits = at + self.n[seed] <= n
+            at, seed = at[fits], seed[fits]
+            same = (sums[at + self.n[seed]] - sums[at]) * self.down[at] == self.whole[seed]
+            found.append((self.pattern[seed[same]], at[same] + low - self.off[seed[same]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def starts_near(codes: np.ndarray, pattern: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``starts_within`` for the starts that are at most k places from one of ``near``.
+
+    ``codes`` has k symbols before the first of them and a pattern's length and 2 k from the last on.
+    """
+    wide = len(pattern) + 3 * k
+    cut = np.full((len(near), wide + k + 1), -1, np.int32)
+    cut[:, :wide] = codes[near[:, None] - k + np.arange(wide)]
+    at, err, length = starts_within(cut.ravel(), pattern, k)
+    row, shift = np.divmod(at, wide + k + 1)
+    own = shift <= 2 * k
+    pos, first = np.unique(near[row[own]] - k + shift[own], return_index=True)
+    return pos, err[own][first], length[own][first]
+
+
+def edits(codes: np.ndarray, p: np.ndarray, at: np.ndarray, length: np.ndarray, err: np.ndarray, k: int) -> np.ndarray:
+    """For windows of ``codes`` within k edits of a pattern a row of k numbers, the edits of ``edit_script``
+    from the last to the first: place in the pattern << 23 | operation (1 X, 2 I, 3 D) << 21 | text's symbol."""
+    out = np.zeros((len(at), k), np.int64)
+    rows = np.flatnonzero(err)
+    m, band, big = len(p), 2 * k + 1, k + 9
+    t = codes[at[rows][:, None] + np.arange(m + k)]
+    d = np.full((m + 1, band, len(rows)), big, np.int16)  # column j of row i is at j - i + k
+    d[0, k:] = np.arange(k + 1)[:, None]
+    for i in range(1, m + 1):
+        for b in range(max(0, k - i), band):
+            best = d[i, b]
+            if b + 1 < band:
+                np.minimum(best, d[i - 1, b + 1] + 1, out=best)
+            if b:
+                np.minimum(best, d[i, b - 1] + 1, out=best)
+            if (j := i + b - k) > 0:
+                np.minimum(best, d[i - 1, b] + (t[:, j - 1] != p[i - 1]), out=best)
+    r = np.arange(len(rows))
+    i, j, n = np.full(len(rows), m), length[rows].astype(np.int64), np.zeros(len(rows), np.int64)
+    least = err[rows]
+    while len(r):
+        b = j - i + k
+        now, sym = d[i, b, r], t[r, j - 1]
+        other = sym != p[i - 1]
+        diagonal = (i > 0) & (j > 0) & (d[i - 1, b, r] + other == now)
+        insertion = ~diagonal & (i > 0) & (b + 1 < band) & (d[i - 1, np.minimum(b + 1, band - 1), r] + 1 == now)
+        edit = ~diagonal | other
+        i = i - (diagonal | insertion)
+        j = j - ~insertion
+        op = np.where(diagonal, 1, np.where(insertion, 2, 3))
+        e = np.flatnonzero(edit)
+        out[rows[r[e]], n[e]] = i[e] << 23 | op[e] << 21 | np.where(insertion[e], 0, sym[e])
+        n[e] += 1
+        left = n < least
+        r, i, j, n, least = r[left], i[left], j[left], n[left], least[left]
+    return out
+
+
+@functools.lru_cache(1 << 16)
+def spelled_edits(m: int, row: tuple[int, ...]) -> tuple[str, str]:
+    """CIGAR and MD of a pattern of m symbols with a row of ``edits``."""
+    runs: list[Run] = []
+    done = 0
+    for x in reversed([x for x in row if x]):
+        i, op, sym = x >> 23, "=XID"[x >> 21 & 3], chr(x & 0x1FFFFF)
+        if i > done:
+            runs.append(("=", i - done, None))
+        runs.append((op, 1, sym))
+        done = i + (op != "D")
+    if m > done:
+        runs.append(("=", m - done, None))
+    return cigar(runs), md(runs)
+
+
+#: Symbols of texts that are aligned at a time, a text more or less.
+AT_A_TIME = 1 << 20
+
+
+def edit_pass(patterns: list[str], ids, seeds: list[list[tuple[int, int]] | None], q: int, k: int, filtered: bool):
+    """Function of Arrow batches (doc_id, text) that makes batches (doc_id, pat_id, pos, len, err, cigar, md, w).
+
+    Patterns of more than k characters; ``ids`` is an Arrow array.  Those with ``seeds``, stretches of q
+    characters at least of which one has no error, are sought by them, others by a pass over the texts.
+    ``filtered``: without redundant hits, all of a pattern in a text being there.
+    """
+    import pyarrow as pa
+
+    gap = 2 * k + 4  # hits of different texts are never redundant
+    reach = max(map(len, patterns), default=0) + 2 * k
+
+    def aligned(texts: list[str], sought: list[np.ndarray], met: Seeds, long: list[int]):
+        between, ends = np.full(gap, -1, np.int32), np.full(reach, -1, np.int32)
+        codes = np.concatenate([ends, *(x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), np.int32), between)), ends])
+        firsts = reach + np.cumsum([0, *(len(t) + gap for t in texts)])[:-1]
+        parts: list[list] = [[] for _ in sought]
+        for low in range(0, len(codes), BLOCK):
+            block = codes[low : low + BLOCK + reach]
+            for i, p in enumerate(sought):
+                if seeds[i] is None:
+                    at, err, length = starts_within(block, p, k)
+                    own = at < BLOCK
+                    parts[i].append((at[own] + low, err[own], length[own]))
+        which, near = met.met(codes)
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(len(long) + 1))
+        for n, i in enumerate(long):
+            if cuts[n] < cuts[n + 1]:
+                parts[i].append(starts_near(codes, sought[i], np.unique(near[order[cuts[n] : cuts[n + 1]]]), k))
+        made, spellings = [], []
+        for i, own in enumerate(parts):
+            at, err, length = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3
+            if filtered and len(at) > 2:
+                kept = not_redundant(at.tolist(), err.tolist(), k)
+                at, err, length = at[kept], err[kept], length[kept]
+            if len(at):
+                seen: dict = {}
+                spelling = [seen.setdefault(x, len(seen)) for x in map(tuple, edits(codes, sought[i], at, length, err, k).tolist())]
+                made.append(np.stack([np.full(len(at), i), at, length, err, np.array(spelling) + len(spellings)]))
+                spellings += [spelled_edits(len(sought[i]), x) for x in seen]
+        i, at, length, err, spelling = np.concatenate(made, axis=1) if made else np.zeros((5, 0), np.int64)
+        text = np.searchsorted(firsts, at, side="right") - 1
+        return text, i, at - firsts[text] if len(at) else at, length, err, spelling, spellings
+
+    def run(batches):
+        sought = [np.frombuffer(p.encode("utf-32-le"), np.int32) for p in patterns]
+        long = [i for i, s in enumerate(seeds) if s is not None]
+        met = Seeds([sought[i] for i in long], [seeds[i] for i in long], q)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            piece = np.cumsum([0, *map(len, texts)])[:-1] // AT_A_TIME
+            for low, high in itertools.pairwise([*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), len(texts)]):
+                some = texts[low:high]
+                text, i, pos, length, err, spelling, spellings = aligned(some, sought, met, long)
+                spelled = [pa.DictionaryArray.from_arrays(pa.array(spelling, pa.int32()), pa.array([s[x] for s in spellings], pa.string())).dictionary_decode() for x in (0, 1)]
+                w = [some[t][a:b] for t, a, b in zip(text.tolist(), pos.tolist(), (pos + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(text + low)), ids.take(pa.array(i)), pa.array(pos, pa.int64()), pa.array(length, pa.int32()), pa.array(err, pa.int32()), *spelled, pa.array(w, pa.string())],
+                    ["doc_id", "pat_id", "pos", "len", "err", "cigar", "md", "w"],
+                )
+
+    return run
+
+
 def edit_script(pattern: str, text: str, k: int) -> tuple[int, list[Run]]:
     """The edit distance of pattern and text (at most k, else k + 1 and no script) and a script.
 
@@ -264,22 +460,40 @@ def edit_alignment(k: int):
 
 
 @functools.lru_cache(1 << 15)
-def _spelled(pattern: str, window: str, k: int):
-    err, script = edit_script(pattern, window, k)
-    return err, cigar(script), md(script), [{"op": o, "len": n, "sym": s} for o, n, s in script]
+def _spelled(pattern: str, window: str, k: int) -> tuple[str, str]:
+    """Short patterns meet the same windows over and over; a process keeps their spellings."""
+    script = edit_script(pattern, window, k)[1]
+    return cigar(script), md(script)
 
 
-def window_alignment(k: int):
-    """Column function (pattern, window of the text within k edits of it): struct of ALIGNED.
+@functools.lru_cache(1 << 15)
+def _runs(pattern: str, window: str, cigar: str) -> list[dict]:
+    out, i, j = [], 0, 0
+    for n, op in re.findall(r"(\d+)([=XID])", cigar):
+        for _ in range(1 if op == "=" else int(n)):
+            length = int(n) if op == "=" else 1
+            out.append({"op": op, "len": length, "sym": {"=": None, "I": pattern[i : i + 1]}.get(op, window[j : j + 1])})
+            i, j = i + length * (op != "D"), j + length * (op != "I")
+    return out
 
-    Short patterns meet the same windows over and over; a process keeps their scripts.
-    """
 
-    @F.pandas_udf(f"struct<{', '.join(c.replace(' ', ': ', 1) for c in ('err int', 'len int', 'cigar string', 'md string', 'runs ' + RUNS))}>")
+def window_spelling(k: int):
+    """Column function (pattern, window of the text within k edits of it): struct (cigar, md)."""
+
+    @F.pandas_udf("struct<cigar: string, md: string>")
     def run(pattern: pd.Series, window: pd.Series) -> pd.DataFrame:
         made = [_spelled(p, w, k) for p, w in zip(pattern, window, strict=True)]
-        err, cigars, mds, runs = zip(*made, strict=True) if made else ((), (), (), ())
-        return pd.DataFrame({"err": err, "len": window.str.len(), "cigar": cigars, "md": mds, "runs": runs})
+        return pd.DataFrame({"cigar": [x[0] for x in made], "md": [x[1] for x in made]})
+
+    return run
+
+
+def window_runs():
+    """Column function (pattern, window, CIGAR): its runs as in an edit script."""
+
+    @F.pandas_udf(RUNS)
+    def run(pattern: pd.Series, window: pd.Series, cigars: pd.Series) -> pd.Series:
+        return pd.Series([_runs(*x) for x in zip(pattern, window, cigars, strict=True)], dtype=object)
 
     return run
 

@@ -84,7 +84,7 @@ def changed_names(spark: SparkSession, d: str) -> DataFrame:
 
 def bases(texts: DataFrame) -> DataFrame:
     """Texts with nothing but their letters A, C, G, T left, raised."""
-    kept = F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "")
+    kept = F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]+", "")
     return texts.select("doc_id", kept.alias("text"))
 
 
@@ -421,16 +421,16 @@ def a12_effective_intervals(spark, d):
     return approximate.effective_intervals(rows)
 
 
-def aligned(spark, d):
-    """Both strands of the items' bases, a symbol changed, aligned to the documents' bases."""
+def aligned(spark, d, *more):
+    """Both strands of the items' bases, a symbol changed, aligned to the documents' bases; ``more`` go with the hits."""
     turned = F.expr("overlay(text placing 'A' from int(char_length(text) / 2) for 1)")
     reads = bases(items(spark, d)).select(F.col("doc_id").alias("pat_id"), turned.alias("pattern"))
-    return reads, approximate.align_reads(bases(documents(spark, d)), reads, 2)
+    return reads, approximate.align_reads(bases(documents(spark, d)).select("*", *more), reads, 2)
 
 
 @query()
 def a13_aligned_reads(spark, d):
-    return approximate.ranked_hits(aligned(spark, d)[1]).drop("runs")
+    return approximate.ranked_hits(aligned(spark, d)[1].drop("runs"))
 
 
 @query(
@@ -882,8 +882,8 @@ def named_reads(reads):
 
 @query()
 def k7_sam_approximate(spark, d):
-    reads, hits = aligned(spark, d)
-    return records.sam_approximate(approximate.ranked_hits(hits), named_reads(reads), named_documents(spark, d), with_sequence=True)
+    reads, hits = aligned(spark, d, F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    return records.sam_approximate(approximate.ranked_hits(hits.drop("runs")), named_reads(reads), with_sequence=True)
 
 
 @query()

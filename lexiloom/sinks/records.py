@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.scratch import numbered
+
 TAB = "\t"
 
 
@@ -72,18 +74,20 @@ def bed(found: DataFrame, patterns: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("pat_id", "strand", "doc_id", "pos", line.alias("line"))
 
 
-def sam_approximate(hits: DataFrame, reads: DataFrame, names: DataFrame, best: bool = False, with_sequence: bool = False, cigars: bool = True) -> DataFrame:
+def sam_approximate(hits: DataFrame, reads: DataFrame, names: DataFrame | None = None, best: bool = False, with_sequence: bool = False, cigars: bool = True) -> DataFrame:
     """(pat_id, rank, line) of ranked hits (``ranked_hits``), a record for each unmapped read besides.
 
-    ``reads`` is (pat_id, name, pattern, quality).  Sequence and quality stand on primary
+    ``reads`` is (pat_id, name, pattern, quality).  Without ``names`` (doc_id, name), hits have the
+    column ``name`` themselves, and meet no table of all texts.  Sequence and quality stand on primary
     records only; on the reverse strand the sequence is complemented, the quality reversed.
     """
     from lexiloom.functions.strings import reverse_complement
 
     reads = reads.select("pat_id", F.col("name").alias("_read"), "pattern", "quality")
-    rows = hits.join(reads, "pat_id").join(names, "doc_id")
-    if best:
-        rows = rows.where("primary")
+    rows = hits.where("primary") if best else hits
+    rows = rows.join(names.select("doc_id", "name"), "doc_id") if names else rows
+    rows = rows.select("pat_id", "strand", "doc_id", "pos", "len", "name", "primary", "mapq", "err", *(["cigar", "md"] if cigars else []))
+    rows = numbered(rows, "pat_id", "strand", "doc_id", "pos", "len").join(reads, "pat_id")
     turned = F.col("strand") == "-"
     flag = F.when(F.col("primary"), 0).otherwise(256) + F.when(turned, 16).otherwise(0)
     shown = F.col("primary") & F.lit(with_sequence)
@@ -93,8 +97,7 @@ def sam_approximate(hits: DataFrame, reads: DataFrame, names: DataFrame, best: b
         TAB, "_read", flag, "name", F.col("pos") + 1, "mapq", F.col("cigar") if cigars else F.lit("*"), F.lit("*\t0\t0"), seq, qual,
         F.concat(F.lit("NM:i:"), F.col("err").cast("string")), *([F.concat(F.lit("MD:Z:"), "md")] if cigars else []),
     )
-    rank = F.row_number().over(Window.partitionBy("pat_id").orderBy("strand", "doc_id", "pos", "len"))
-    mapped = rows.select("pat_id", rank.alias("rank"), line.alias("line"))
+    mapped = rows.select("pat_id", "rank", line.alias("line"))
     lost = reads.join(hits.select("pat_id").distinct(), "pat_id", "left_anti")
     own = F.when(F.lit(with_sequence), F.col("pattern")).otherwise("*")
     own_q = F.when(F.lit(with_sequence) & (F.coalesce("quality", F.lit("")) != ""), F.col("quality")).otherwise("*")

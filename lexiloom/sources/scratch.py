@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,3 +25,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Adds ``rank``, a row's place (from 1) among those of its key by ``order``.
+
+    Rows are moved once, sorted as a whole and stored in slices; a slice counts what it has of each
+    key, so that the rows of one key need not meet in one task.
+    """
+    rows = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_slice", F.shiftright("_at", 33))
+    slices = rows.groupBy(key, "_slice").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = stored(slices.select(key, "_slice", (F.coalesce(before, F.lit(0)) + 1 - F.col("_low")).alias("_more")))
+    return rows.join(slices, [key, "_slice"]).withColumn("rank", (F.col("_at") + F.col("_more")).cast("int")).drop("_at", "_slice", "_more")

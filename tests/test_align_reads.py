@@ -1,10 +1,15 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from lexiloom.functions import alignment as A
 from lexiloom.operators import approximate
 from lexiloom.sinks import records
+from lexiloom.sources.scratch import numbered
 from tests.test_approximate import naive_edit
 from tests.test_exact import patterns, texts
 
@@ -61,3 +66,50 @@ def test_paf_joins_names_without_scripts(spark):
     assert [r.line for r in lines.collect()] == ["r\t3\t0\t3\t+\td\t9\t4\t7\t2\t3\t255\tNM:i:1\tcg:Z:2=1X"]
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("aggregate(runs") > plan.rindex("Join") and plan.index("aggregate(runs") > plan.index("Join")
+
+
+def test_sam_moves_records_once(spark):
+    """Names come with the hits; records are moved for their rank only, whatever the number of texts."""
+    draw = random.Random(2)
+    t = texts(spark, *("".join(draw.choice("ACGT") for _ in range(2000)) for _ in range(20)))
+    reads = spark.createDataFrame([(i, f"r{i}", p, "") for i, p in enumerate(["ACGTAC", "GATTACA", "A" * 30])], "pat_id long, name string, pattern string, quality string")
+    named = t.withColumn("name", F.concat(F.lit("t"), "doc_id"))
+    hits = approximate.ranked_hits(approximate.align_reads(named, reads.select("pat_id", "pattern"), 2).drop("runs"))
+    n = hits.count()
+    assert n > 1000
+    lines = records.sam_approximate(hits, reads)
+    assert moved(spark, SimpleNamespace(collect=lambda: records.sam_approximate(hits, reads).collect())) <= n + 200
+    joined = records.sam_approximate(hits.drop("name"), reads, named.select("doc_id", "name"))
+    assert sorted(lines.collect()) == sorted(joined.collect()) and lines.count() == n + 1
+
+
+def test_ranks_of_one_key_are_counted_over_slices(spark):
+    rows = spark.range(5000).select(F.floor(F.col("id") / 4990).alias("key"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = numbered(rows, "key", "x").withColumn("slice", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for key in (0, 1):
+        own = sorted((r.x, r.rank) for r in out if r.key == key)
+        assert [rank for _, rank in own] == list(range(1, len(own) + 1))
+
+
+def test_one_pass_equals_joins(spark):
+    t, reads = drawn(3)
+    reads += [reads[-1] + "N" * 3, t[3][10:100], "AC", "G"]
+    for filtered in (False, True):
+        one, many = (sorted(approximate.align_reads(texts(spark, *t, "ACNNNGT"), patterns(spark, *reads), 2, filtered=filtered, few=few).collect()) for few in (100, 0))
+        assert one == many and len(one) > 100
+
+
+def test_spellings_equal_those_of_scripts():
+    draw, k = random.Random(4), 3
+    for m in (4, 9, 60):
+        t = "".join(draw.choice("AC") for _ in range(800)) if m < 60 else "".join(draw.choice("ACGT") for _ in range(800))
+        p = t[50 : 50 + m]
+        codes, p_codes = (np.array([*map(ord, x)] + [-1] * pad, np.int32) for x, pad in ((t, m + k), (p, 0)))
+        at, err, length = A.starts_within(codes, p_codes, k)
+        assert sorted(zip(at, length, err)) == sorted(naive_edit(t, p, k))
+        scripts = [A.edit_script(p, t[a : a + n], k)[1] for a, n in zip(at, length)]
+        assert [A.spelled_edits(m, tuple(x)) for x in A.edits(codes, p_codes, at, length, err, k).tolist()] == [(A.cigar(s), A.md(s)) for s in scripts]
