@@ -89,7 +89,7 @@ def starts_within(codes: np.ndarray, pattern: np.ndarray, k: int) -> tuple[np.nd
         for _ in range(k):  # more symbols of the text, one error each
             np.add(new[:-1], unit + 1, out=more)
             np.minimum(new[1:], more, out=new[1:])
-            np.minimum(new, none, out=new)
+        np.minimum(new, none, out=new)
         row, new = new, row
     at = np.flatnonzero(row[1:] < none) + 1
     at = at[turned[at - 1] >= 0][::-1]
@@ -288,11 +288,12 @@ def spelled_edits(m: int, row: tuple[int, ...]) -> tuple[str, str]:
 AT_A_TIME = 1 << 20
 
 
-def edit_pass(patterns: list[str], ids, seeds: list[list[tuple[int, int]] | None], q: int, k: int, filtered: bool):
+def edit_pass(patterns: list[str], ids, seeds: list[list[tuple[int, int]]], classes: tuple[int, ...], k: int, filtered: bool):
     """Function of Arrow batches (doc_id, text) that makes batches (doc_id, pat_id, pos, len, err, cigar, md, w).
 
-    Patterns of more than k characters; ``ids`` is an Arrow array.  Those with ``seeds``, stretches of q
-    characters at least of which one has no error, are sought by them, others by a pass over the texts.
+    Patterns of more than k characters; ``ids`` is an Arrow array.  One of a pattern's
+    ``seeds``, stretches of it, has no error.  Patterns whose stretches have at least as many characters
+    as one of ``classes``, largest first, are sought by so many; others by a pass over the texts.
     ``filtered``: without redundant hits, all of a pattern in a text being there.
     """
     import pyarrow as pa
@@ -300,7 +301,9 @@ def edit_pass(patterns: list[str], ids, seeds: list[list[tuple[int, int]] | None
     gap = 2 * k + 4  # hits of different texts are never redundant
     reach = max(map(len, patterns), default=0) + 2 * k
 
-    def aligned(texts: list[str], sought: list[np.ndarray], met: Seeds, long: list[int]):
+    least = [next((q for q in classes if min(b - a for a, b in own) >= q), 0) for own in seeds]
+
+    def aligned(texts: list[str], sought: list[np.ndarray], met: list[tuple[list[int], Seeds]]):
         between, ends = np.full(gap, -1, np.int32), np.full(reach, -1, np.int32)
         codes = np.concatenate([ends, *(x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), np.int32), between)), ends])
         firsts = reach + np.cumsum([0, *(len(t) + gap for t in texts)])[:-1]
@@ -308,16 +311,17 @@ def edit_pass(patterns: list[str], ids, seeds: list[list[tuple[int, int]] | None
         for low in range(0, len(codes), BLOCK):
             block = codes[low : low + BLOCK + reach]
             for i, p in enumerate(sought):
-                if seeds[i] is None:
+                if not least[i]:
                     at, err, length = starts_within(block, p, k)
                     own = at < BLOCK
                     parts[i].append((at[own] + low, err[own], length[own]))
-        which, near = met.met(codes)
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(len(long) + 1))
-        for n, i in enumerate(long):
-            if cuts[n] < cuts[n + 1]:
-                parts[i].append(starts_near(codes, sought[i], np.unique(near[order[cuts[n] : cuts[n + 1]]]), k))
+        for own, table in met:
+            which, near = table.met(codes)
+            order = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[order], np.arange(len(own) + 1))
+            for n, i in enumerate(own):
+                if cuts[n] < cuts[n + 1]:
+                    parts[i].append(starts_near(codes, sought[i], np.unique(near[order[cuts[n] : cuts[n + 1]]]), k))
         made, spellings = [], []
         for i, own in enumerate(parts):
             at, err, length = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3
@@ -335,14 +339,14 @@ def edit_pass(patterns: list[str], ids, seeds: list[list[tuple[int, int]] | None
 
     def run(batches):
         sought = [np.frombuffer(p.encode("utf-32-le"), np.int32) for p in patterns]
-        long = [i for i, s in enumerate(seeds) if s is not None]
-        met = Seeds([sought[i] for i in long], [seeds[i] for i in long], q)
+        own = [(q, [i for i, x in enumerate(least) if x == q]) for q in classes]
+        met = [(some, Seeds([sought[i] for i in some], [seeds[i] for i in some], q)) for q, some in own if some]
         for batch in batches:
             texts = batch.column("text").to_pylist()
             piece = np.cumsum([0, *map(len, texts)])[:-1] // AT_A_TIME
             for low, high in itertools.pairwise([*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), len(texts)]):
                 some = texts[low:high]
-                text, i, pos, length, err, spelling, spellings = aligned(some, sought, met, long)
+                text, i, pos, length, err, spelling, spellings = aligned(some, sought, met)
                 spelled = [pa.DictionaryArray.from_arrays(pa.array(spelling, pa.int32()), pa.array([s[x] for s in spellings], pa.string())).dictionary_decode() for x in (0, 1)]
                 w = [some[t][a:b] for t, a, b in zip(text.tolist(), pos.tolist(), (pos + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
